@@ -99,3 +99,21 @@ def row_numbers(df: DataFrame, order: list[str], name: str, keys: list[str] | No
     return local.join(offsets, [*keys, CELL]).select(
         *df.columns, (F.col("_off") + F.col("_run")).cast("long").alias(name)
     )
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], layout: str = "auto") -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per key, columns ``q0``, ``q1``, ...
+
+    Works on counts per distinct value and their prefix sums, so no group is gathered in one place."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = prefix_sums(counts, keys, "_v", ["_n"], layout)
+    columns = []
+    for i, q in enumerate(points):
+        at = F.lit(float(q)) * (F.col("all__n") - 1)
+        low = F.floor(at)
+        here = (F.col("cum__n") - F.col("_n") <= low) & (low < F.col("cum__n"))
+        above = F.when(low + 1 < F.col("cum__n"), F.col("_v")).otherwise(F.coalesce("next_value", "_v"))
+        exact = F.col("_v").cast("double") + (at - low) * (above - F.col("_v")).cast("double")
+        columns.append(F.max(F.when(here, exact)).alias(f"q{i}"))
+    grouped = placed.groupBy(*keys) if keys else placed.groupBy()
+    return grouped.agg(*columns)

@@ -68,27 +68,56 @@ def distance_ratios(best: DataFrame, runtime: DataFrame, keys: list[str] | None
     return now.join(base, ["class", "measure"]).withColumn("ratio", F.col("runtime_distance") / usable)
 
 
-def distance_similarity(best: DataFrame, runtime: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per class: similarity of each usable measure, their mean (0 if none) and their number."""
-    keys = list(keys or [])
+def assess_classes(best: DataFrame, runtime: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per class, in one aggregation over the ratios: similarity of each usable measure, their mean
+    (0 if none) and number, and how many of the measures are stable (ratio at most 1)."""
     ratio = F.col("ratio")
     close = nan_to_null(ratio) <= 1.0
     value = F.when(ratio.isNull(), F.lit(None)).when(close, F.least(F.lit(100.0), 100.0 * (2.0 - ratio))).otherwise(100.0 / ratio)
-    rows = distance_ratios(best, runtime, keys).withColumn("similarity", value)
-    listed = F.filter(
-        F.sort_array(F.collect_list(F.struct("measure", "similarity"))), lambda m: m["similarity"].isNotNull()
+    rows = distance_ratios(best, runtime, keys).withColumns(
+        {
+            "similarity": value,
+            "stable": F.coalesce(close, F.lit(False)),
+            "shown": F.coalesce(ratio, F.lit(float("inf"))),
+        }
+    )
+    measures = F.sort_array(F.collect_list(F.struct("measure", F.col("shown").alias("ratio"), "stable", "similarity")))
+    stable = count_if(F.col("stable"))
+    return (
+        rows.groupBy(*(keys or []), "class")
+        .agg(
+            measures.alias("m"),
+            F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("average_similarity"),
+            F.count("similarity").alias("valid_measures"),
+            F.max("accuracy").alias("class_accuracy"),
+            stable.alias("stable_count"),
+            F.when(stable >= STABLE_MEASURES, "stable").otherwise("unstable").alias("badge"),
+        )
+        .withColumns(
+            {
+                "similarities": F.transform(
+                    F.filter("m", lambda r: r["similarity"].isNotNull()), lambda r: r["similarity"]
+                ),
+                "measure_details": F.transform("m", lambda r: r.dropFields("similarity")),
+            }
+        )
+        .drop("m")
     )
-    return rows.groupBy(*keys, "class").agg(
-        F.transform(listed, lambda m: m["similarity"]).alias("similarities"),
-        F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("average_similarity"),
-        F.count("similarity").alias("valid_measures"),
-        F.max("accuracy").alias("class_accuracy"),
+
+
+def distance_similarity(best: DataFrame, runtime: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per class: similarity of each usable measure, their mean (0 if none) and their number."""
+    return assess_classes(best, runtime, keys).select(
+        *(keys or []), "class", "similarities", "average_similarity", "valid_measures", "class_accuracy"
     )
 
 
 def weighted_similarity(similarity: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Mean over the classes, weighted by valid measures times class accuracy; 50 without weight."""
+    """Mean over the classes, weighted by valid measures times class accuracy; 50 without weight.
+
+    The class figures are kept in the array ``classes``."""
     keys = list(keys or [])
+    kept = [c for c in ("class", "average_similarity", "valid_measures", "stable_count") if c in similarity.columns]
     weight = F.when(F.col("valid_measures") > 0, nan_to_null(F.col("valid_measures") * F.col("class_accuracy")))
     grouped = similarity.groupBy(*keys) if keys else similarity.groupBy()
     total = F.sum(weight)
@@ -97,7 +126,7 @@ def weighted_similarity(similarity: DataFrame, keys: list[str] | None = None) ->
         .otherwise(NEUTRAL_SIMILARITY)
         .alias("overall_similarity"),
         F.max(nan_to_null("class_accuracy")).alias("best_accuracy"),
-        F.sort_array(F.collect_list(F.struct("class", "average_similarity", "valid_measures"))).alias("classes"),
+        F.sort_array(F.collect_list(F.struct(*kept))).alias("classes"),
     )
 
 
@@ -186,26 +215,20 @@ def stability_rows(best: DataFrame, runtime: DataFrame, keys: list[str] | None =
 
 def stability(best: DataFrame, runtime: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per class: number of stable measures, the badge, and the details in measure order."""
-    rows = stability_rows(best, runtime, keys)
-    stable = count_if(F.col("stable"))
-    return rows.groupBy(*(keys or []), "class").agg(
-        stable.alias("stable_count"),
-        F.when(stable >= STABLE_MEASURES, "stable").otherwise("unstable").alias("badge"),
-        F.sort_array(F.collect_list(F.struct("measure", "ratio", "stable"))).alias("measure_details"),
-    )
+    return assess_classes(best, runtime, keys).select(*(keys or []), "class", "stable_count", "badge", "measure_details")
 
 
-def decide(voted: DataFrame, stable: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Decision code, action and risk, with the stable measures per class if given."""
-    keys = list(keys or [])
+def decide(voted: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Decision code, action and risk, with the number of stable measures per class."""
     run_alone = F.col("decision") == AUTONOMOUS
     code = F.when(run_alone & (F.col("confidence_level") == "HIGH"), 1).when(run_alone, 2).otherwise(3)
 
     def text(values: dict[int, str]) -> Column:
         return F.when(code == 1, values[1]).when(code == 2, values[2]).otherwise(values[3])
 
-    result = voted.select(
-        *keys,
+    counts = F.map_from_entries(F.transform("classes", lambda c: F.struct(c["class"], c["stable_count"])))
+    return voted.select(
+        *(keys or []),
         "decision",
         "confidence_level",
         "accuracy_difference",
@@ -217,14 +240,8 @@ def decide(voted: DataFrame, stable: DataFrame | None = None, keys: list[str] |
         text(RISKS).alias("risk_level"),
         text(MESSAGES).alias("message"),
         "reason",
+        counts.alias("stable_measures"),
     )
-    if stable is None:
-        return result
-    pairs = F.sort_array(F.collect_list(F.struct("class", "stable_count")))
-    counts = stable.groupBy(*keys).agg(F.map_from_entries(pairs).alias("stable_measures"))
-    if keys:
-        return result.join(counts, keys, "left")
-    return result.withColumn("stable_measures", counts.scalar())
 
 
 def fallback_decision(df: DataFrame) -> DataFrame:
@@ -246,7 +263,6 @@ def fallback_decision(df: DataFrame) -> DataFrame:
 
 
 def verdict(baseline: DataFrame, runtime: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Baseline and runtime distances in, decision out."""
-    best = best_baseline(baseline)
-    voted = confidence_vote(estimate_accuracy(weighted_similarity(distance_similarity(best, runtime, keys), keys)))
-    return decide(voted, stability(best, runtime, keys), keys)
+    """Baseline and runtime distances in, decision out. Every input is read once."""
+    classes = assess_classes(best_baseline(baseline), runtime, keys)
+    return decide(confidence_vote(estimate_accuracy(weighted_similarity(classes, keys))), keys)

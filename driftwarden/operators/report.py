@@ -177,7 +177,7 @@ def kpi_table(predictions: DataFrame, decision: DataFrame, prediction: str = "pr
             F.count(F.lit(1)).alias("total"), count_if(p == 0).alias("normal"), count_if(p == 1).alias("anomalies")
         ).alias("t")
     ).scalar()
-    total, normal, anomalies = (totals.getField(c) for c in ("total", "normal", "anomalies"))
+    total, normal, anomalies = (F.col(f"_t.{c}") for c in ("total", "normal", "anomalies"))
     sample = F.greatest(F.lit(HEAD_FLOOR).cast("long"), F.floor(total * F.lit(HEAD_FRACTION)))
 
     def row(metric: str, value: Column) -> Column:
@@ -203,7 +203,7 @@ def kpi_table(predictions: DataFrame, decision: DataFrame, prediction: str = "pr
         row("Accuracy Drop", F.format_string("%.4f", F.lit(REFERENCE_ACCURACY) - F.col("estimated_accuracy"))),
         row("Visualization Sample Size", sample),
     ]
-    return decision.select(F.inline(F.array(*rows)))
+    return decision.withColumn("_t", totals).select(F.inline(F.array(*rows)))
 
 
 def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -38,19 +38,27 @@ def cutoffs(
     hash_col: str,
     want: Callable[[Column], Column],
     key_rows: int | None,
+    marked: Column | None = None,
 ) -> DataFrame:
     """One row per key: the draw of the ``want(total)``-th row, as ``cutoff``.
 
-    ``key_rows`` bounds the number of keys if the caller knows it, else None.
+    ``key_rows`` bounds the number of keys if the caller knows it, else None. ``want`` may also use
+    the column ``marked``: how many rows of the key fulfil the condition of that name.
     """
-    draws = df.select(*keys, F.col(hash_col).alias("_h")).withColumn("_cell", F.substring("_h", 1, HEX_DIGITS))
-    counted = draws.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    mark = F.lit(False) if marked is None else marked
+    draws = df.select(*keys, F.col(hash_col).alias("_h"), mark.alias("_mark")).withColumn(
+        "_cell", F.substring("_h", 1, HEX_DIGITS)
+    )
+    counted = draws.groupBy(*keys, "_cell").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_mark"), 1).otherwise(0)).alias("_m")
+    )
     across = Window.partitionBy(*keys).orderBy("_cell")
     whole = Window.partitionBy(*keys)
     placed = counted.withColumns(
         {
             "_before": F.coalesce(F.sum("_n").over(across.rowsBetween(*BEFORE_HERE)), F.lit(0)),
             "_total": F.sum("_n").over(whole),
+            "marked": F.sum("_m").over(whole),
         }
     ).withColumn("_want", want(F.col("_total")).cast("long"))
     edge = placed.filter(
@@ -58,7 +66,7 @@ def cutoffs(
         & (F.col("_before") < F.col("_want"))
         & (F.col("_want") <= F.col("_before") + F.col("_n"))
     ).select(*keys, "_cell", (F.col("_want") - F.col("_before")).alias("_nth"))
-    in_edge = lookup_join(draws, edge, [*keys, "_cell"], 1 if not keys else key_rows)
+    in_edge = lookup_join(draws.drop("_mark"), edge, [*keys, "_cell"], 1 if not keys else key_rows)
     ranked = in_edge.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("_h")))
     exact = ranked.filter(F.col("_r") == F.col("_nth")).select(*keys, F.col("_h").alias("cutoff"))
     limits = placed.filter((F.col("_before") == 0) & ((F.col("_want") <= 0) | (F.col("_want") >= F.col("_total")))).select(

@@ -20,7 +20,7 @@ are left out) or c <= n - 1 (``boundary="full"``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,35 +70,32 @@ def ecdf_steps(counts: DataFrame, keys: list[str], value: str = "value", layout:
     )
 
 
-def measure_columns(boundary: str = "reference") -> dict[str, Column]:
-    """The six measures as aggregates over a step table of one key."""
-    n = F.col("nx") + F.col("ny")
-    c = F.col("cx") + F.col("cy")
-    inside = c <= n - F.lit(CUT[boundary])
-    both = (F.col("nx") > 0) & (F.col("ny") > 0)
-    h = F.try_divide(F.col("cy").cast("double"), F.col("ny").cast("double")) - F.try_divide(
-        F.col("cx").cast("double"), F.col("nx").cast("double")
-    )
-    cd, nd = c.cast("double"), n.cast("double")
-    sd = F.sqrt(cd * (nd - cd) / nd)
-    w = (F.col("next_value") - F.col("value")).cast("double")
-
-    def total(term: Column) -> Column:
-        return F.coalesce(F.sum(F.when(inside, term)), F.lit(0.0))
-
-    top = F.greatest(F.lit(0.0), F.coalesce(F.max(F.when(inside, h)), F.lit(0.0)))
-    low = F.least(F.lit(0.0), F.coalesce(F.min(F.when(inside, h)), F.lit(0.0)))
-    scaled = F.when(sd > 0, F.abs(h) / sd).otherwise(0.0)
-    raw = {
-        "Anderson_Darling": total(scaled),
-        "CVM": total(F.abs(h)),
-        "DTS": total(scaled * w),
-        "Kolmogorov_Smirnov": F.greatest(top, -low),
-        "Kuiper": top + F.abs(low),
-        "Wasserstein": total(F.abs(h) * w),
-    }
-    present = F.max(both)
-    return {m: F.when(present, e).otherwise(F.lit(float("nan"))) for m, e in raw.items()}
+def step_terms(steps: DataFrame, boundary: str = "reference") -> DataFrame:
+    """Per step: the signed height ``h``, its scaled size ``a`` and the gap ``w``, null outside the
+    boundary; ``present`` tells whether both sides have rows."""
+    inside = f"cx + cy <= nx + ny - {CUT[boundary]}"
+    height = "try_divide(double(cy), double(ny)) - try_divide(double(cx), double(nx))"
+    deviation = "sqrt(double(cx + cy) * double(nx + ny - cx - cy) / double(nx + ny))"
+    return steps.withColumns(
+        {
+            "present": F.expr("nx > 0 and ny > 0"),
+            "h": F.expr(f"if({inside}, {height}, null)"),
+            "sd": F.expr(deviation),
+            "w": F.expr("double(next_value - value)"),
+        }
+    ).withColumn("a", F.expr("if(sd > 0, abs(h) / sd, if(h is null, null, 0D))"))
+
+
+# The measures as aggregates over ``step_terms`` of one key.
+UP, DOWN = "greatest(0D, coalesce(max(h), 0D))", "least(0D, coalesce(min(h), 0D))"
+AGGREGATES = {
+    "Anderson_Darling": "coalesce(sum(a), 0D)",
+    "CVM": "coalesce(sum(abs(h)), 0D)",
+    "DTS": "coalesce(sum(a * w), 0D)",
+    "Kolmogorov_Smirnov": f"greatest({UP}, -{DOWN})",
+    "Kuiper": f"{UP} + abs({DOWN})",
+    "Wasserstein": "coalesce(sum(abs(h) * w), 0D)",
+}
 
 
 def distances(
@@ -110,9 +107,8 @@ def distances(
     measures: list[str] | None = None,
 ) -> DataFrame:
     """The measures per key from a table of counts (keys, value, x, y). NaN if a side is empty."""
-    aggregates = measure_columns(boundary)
-    wanted = [aggregates[m].alias(m) for m in (measures or MEASURES)]
-    return ecdf_steps(counts, keys, value, layout).groupBy(*keys).agg(*wanted)
+    wanted = [F.expr(f"if(max(present), {AGGREGATES[m]}, double('NaN'))").alias(m) for m in (measures or MEASURES)]
+    return step_terms(ecdf_steps(counts, keys, value, layout), boundary).groupBy(*keys).agg(*wanted)
 
 
 def feature_distances(
@@ -177,10 +173,16 @@ def mean_over_features(per_feature: DataFrame, classes: list[int], keys: list[st
         .agg(*[F.avg(m).alias(m) for m in MEASURES])
     )
     if keys:
-        listed = per_feature.select(*keys).distinct().select(
-            *keys, F.explode(F.array(*[F.lit(int(c)) for c in classes])).alias("class")
+        # The classes of a key are gathered in a map (at most one entry per listed class) and read
+        # off in list order, so the distances are computed once and no key list is joined.
+        entry = F.struct("class", F.struct(*MEASURES).alias("v"))
+        full = (
+            means.groupBy(*keys)
+            .agg(F.map_from_entries(F.collect_list(entry)).alias("_of"))
+            .select(*keys, "_of", F.explode(F.array(*[F.lit(int(c)) for c in classes])).alias("class"))
+            .select(*keys, "class", F.try_element_at("_of", F.col("class")).alias("_v"))
+            .select(*keys, "class", "_v.*")
         )
-        full = listed.join(means, [*keys, "class"], "left")
     else:
         # At most one row per listed class, so its size is bounded by the argument.
         full = lookup_join(class_list(per_feature.sparkSession, classes), means, ["class"], len(classes), "left")

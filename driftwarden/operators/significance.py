@@ -35,6 +35,8 @@ from driftwarden.plans.scale import lookup_join
 
 # Numpy draws hypergeometric variates exactly below this population.
 EXACT_POPULATION = 10**9
+# Replicates whose first-level draws one task makes.
+B_CHUNK = 64
 
 
 # --- draws by hash ----------------------------------------------------------------------------
@@ -220,24 +222,26 @@ def count_pvalues(
 
     def split_replicates(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bucket")
-        b, group = int(key[-1]), key[:-1]
+        group, first_b = key[:-1], int(key[-1]) * B_CHUNK
         nx, ny = int(pdf["nx"].iloc[0]), int(pdf["ny"].iloc[0])
-        pool = (pdf["bx"] + pdf["by"]).to_numpy(np.int64)
-        if b == 0:
-            e, f = pdf["bx"].to_numpy(np.int64), pdf["by"].to_numpy(np.int64)
-        else:
-            rng = np.random.default_rng([seed, _key_number(group), b, 0])
-            e = split_draw(rng, pool, nx)
-            f = pool - e if method == "permutation" else split_draw(rng, pool, ny)
-        out = pd.DataFrame({k: [v] * len(pdf) for k, v in zip(keys, group)})
-        out["bucket"] = pdf["bucket"].to_numpy()
-        out["b"] = b
-        out["e"], out["f"] = e, f
-        out["off_e"], out["off_f"] = np.cumsum(e) - e, np.cumsum(f) - f
+        bx, by = pdf["bx"].to_numpy(np.int64), pdf["by"].to_numpy(np.int64)
+        blocks = []
+        for b in range(first_b, min(first_b + B_CHUNK, b_count)):
+            if b == 0:
+                e, f = bx, by
+            else:
+                rng = np.random.default_rng([seed, _key_number(group), b, 0])
+                e = split_draw(rng, bx + by, nx)
+                f = bx + by - e if method == "permutation" else split_draw(rng, bx + by, ny)
+            blocks.append(np.column_stack([pdf["bucket"], np.full(len(e), b), e, f, np.cumsum(e) - e, np.cumsum(f) - f]))
+        out = pd.DataFrame(np.concatenate(blocks), columns=["bucket", "b", "e", "f", "off_e", "off_f"])
+        for place, (k, v) in enumerate(zip(keys, group)):
+            out.insert(place, k, v)
         return out
 
-    replicated = totals.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b_count - 1))))
-    parts = replicated.groupBy(*keys, "b").applyInPandas(
+    chunks = (b_count + B_CHUNK - 1) // B_CHUNK
+    replicated = totals.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    parts = replicated.groupBy(*keys, "chunk").applyInPandas(
         split_replicates, f"{key_schema}, bucket long, b int, e long, f long, off_e long, off_f long"
     )
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A plan whose estimated output stays below this may use one window per key.
+# A plan that reads at most this much may use one window per key.
 SMALL_PLAN_BYTES = 256 << 20
 
 # A lookup table with at most this many rows may be broadcast.
@@ -16,16 +16,17 @@ BROADCAST_ROWS = 200_000
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``, from file sizes; no job runs. None if unknown."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:  # Spark Connect has no JVM handle
+    """Bytes that the plan of ``df`` reads after pruning, from file sizes; no job runs. None if
+    unknown. Leaves are added up because Spark's own estimate of a join is the product of its sides.
+    """
+    if not hasattr(df, "_jdf"):  # Spark Connect has no JVM handle
         return None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    """True only when the estimate is known and below ``limit``."""
+    """True only when the bytes read are known and at most ``limit``."""
     size = plan_bytes(df)
     return size is not None and size <= (SMALL_PLAN_BYTES if limit is None else limit)
 

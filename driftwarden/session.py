@@ -17,6 +17,8 @@ def local_session(cpus: int | str = "*", app: str = "driftwarden", **conf: str)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Without this, every Column call captures a Python stack; plans here have hundreds of them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
     )

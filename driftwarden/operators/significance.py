@@ -128,8 +128,8 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     """Number of good items among n drawn without replacement, for populations of any size.
 
     Beyond numpy's limit the distribution is inverted around its mode from exact ratios of
-    neighbouring probabilities; the window of 40 standard deviations holds all mass that a double
-    can express."""
+    neighbouring probabilities; beyond ten standard deviations the mass is below what a double can
+    add to one."""
     low, high = max(0, n - bad), min(n, good)
     if low >= high:
         return low
@@ -138,7 +138,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int
     total = good + bad
     mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
     spread = np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))
-    reach = int(40 * spread) + 50
+    reach = int(10 * spread) + 50
     k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
     step = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - n + k[:-1] + 1)
     weight = np.concatenate([[0.0], np.cumsum(step)])

@@ -101,11 +101,13 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     The range is a scalar subquery; at most ``bins`` rows leave the aggregation."""
     x = F.col(column).cast("double")
     valid = df.filter(x.isNotNull() & ~F.isnan(x))
-    ends = valid.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias("e")).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
+    lo, hi = F.min(x), F.max(x)
     # A single value gets a range of one around it, as numpy does.
-    low = F.when(hi > lo, lo).otherwise(lo - 0.5)
-    width = F.when(hi > lo, (hi - lo) / bins).otherwise(F.lit(1.0 / bins))
+    grid = F.struct(
+        F.when(hi > lo, lo).otherwise(lo - 0.5).alias("low"), F.when(hi > lo, (hi - lo) / bins).otherwise(1.0 / bins).alias("width")
+    )
+    ends = valid.agg(grid.alias("g")).scalar()
+    low, width = ends.getField("low"), ends.getField("width")
     at = F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int")
     counted = valid.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))

@@ -6,7 +6,16 @@ from pyspark.sql import functions as F
 
 from driftwarden import sources, views
 from driftwarden.catalog.base import FLOW, TRAFFIC, query, with_ctes
-from driftwarden.catalog.decisions import baseline
+from driftwarden.catalog.decisions import (
+    BASELINE_SQL,
+    BEST_SQL,
+    ESTIMATED_SQL,
+    RUNTIME_SQL,
+    SIMILARITY_SQL,
+    VOTED_SQL,
+    WEIGHTED_SQL,
+    baseline,
+)
 from driftwarden.catalog.reports import WINDOW_LIST, tidy_windows, window_sql
 from driftwarden.operators import models
 from driftwarden.plans.scale import scratch_path
@@ -67,9 +76,26 @@ def t4_rows(spark, sf_dir):
     return t4(spark, sf_dir).groupBy("year").agg(F.sum("rows").alias("rows"))
 
 
-@query("t4_stream_drift")
+# The same chain as for batches, with one data set per year: all training rows against its rows.
+YEARLY = """
+years AS (SELECT strftime(ts, '%Y') AS data, count(*) AS rows FROM flow WHERE side = 'runtime' GROUP BY 1),
+both_rows AS (
+  SELECT data, label AS class, side, flow_duration, pkt_len_mean, pkt_size_avg, rst_flag_cnt FROM flow CROSS JOIN years WHERE side = 'train'
+  UNION ALL
+  SELECT strftime(ts, '%Y'), prediction, side, flow_duration, pkt_len_mean, pkt_size_avg, rst_flag_cnt FROM flow WHERE side = 'runtime')
+"""
+
+
+@query(
+    "t4_stream_drift",
+    with_ctes(*BASELINE_SQL, YEARLY, *RUNTIME_SQL[4:], BEST_SQL, SIMILARITY_SQL, WEIGHTED_SQL, ESTIMATED_SQL, VOTED_SQL, select="""
+SELECT data AS year, decision, confidence_level,
+  CASE WHEN decision = 'AUTONOMOUS' AND confidence_level = 'HIGH' THEN 1 WHEN decision = 'AUTONOMOUS' THEN 2 ELSE 3 END AS decision_code,
+  round(overall_similarity, 4) AS overall_similarity, round(estimated_accuracy, 6) AS estimated_accuracy, rows
+FROM voted JOIN estimated USING (data) JOIN years USING (data)"""),
+)
 def t4(spark, sf_dir):
-    """Verdict per 52-week window of the runtime flows, from a stream of scored rows."""
+    """Verdict per year of the runtime flows, from a stream of scored rows."""
     flows = views.flow_view(spark, sf_dir)
     runtime = views.runtime_rows(flows).select(F.col("ts").alias("timestamp"), "prediction", *FEATURES).withColumn(
         "timestamp", F.date_trunc("year", F.col("timestamp").cast("timestamp"))
@@ -83,8 +109,10 @@ def t4(spark, sf_dir):
         sources.load_baseline(spark, stored), FEATURES, CLASSES, every="1 day", layout="window",
     )
     monitor.start(stream, scratch_path(spark, "stream"), drain=True).awaitTermination()
-    found = monitor.verdicts().drop("batch_id")
-    return found.withColumn("year", F.date_format("window_start", "yyyy")).drop("window_start")
+    return monitor.verdicts().select(
+        F.date_format("window_start", "yyyy").alias("year"), "decision", "confidence_level", "decision_code",
+        F.round("overall_similarity", 4).alias("overall_similarity"), F.round("estimated_accuracy", 6).alias("estimated_accuracy"), "rows",
+    )
 
 
 @query(

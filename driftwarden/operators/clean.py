@@ -76,13 +76,12 @@ def label_codes(df: DataFrame, column: str) -> DataFrame:
     return ranked.withColumn("code", (F.col("code") - 1).cast("int"))
 
 
-def encode_label(df: DataFrame, column: str, output: str = "code", max_values: int | None = 10_000) -> DataFrame:
+def encode_label(df: DataFrame, column: str, output: str = "code") -> DataFrame:
     """Ordinal of each row's value among the sorted distinct values.
 
-    ``max_values`` is the caller's bound on the number of distinct values; beyond it, or with None,
-    the codes are joined by shuffle instead of broadcast."""
+    The codes are broadcast if a count shows that they are few, else joined by shuffle."""
     codes = label_codes(df, column).withColumnRenamed("code", output)
-    return lookup_join(df, codes, [column], max_values, "left")
+    return lookup_join(df, codes, [column], "check", "left")
 
 
 def one_hot(df: DataFrame, column: str, values: list) -> DataFrame:

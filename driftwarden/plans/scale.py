@@ -67,12 +67,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: list[str], rows: int | None, how: str = "inner") -> DataFrame:
-    """Join a lookup table; broadcast it only if its row bound is known and small.
+def lookup_join(
+    df: DataFrame, lookup: DataFrame, on: list[str], rows: int | str | None, how: str = "inner"
+) -> DataFrame:
+    """Join a lookup table; broadcast it only if it is known to be small.
 
     ``rows`` is an upper bound that follows from the arguments (for example the number of listed
-    keys). Without one the join is left to Spark, which shuffles and splits skewed keys.
+    keys), or ``"check"``: the lookup is then written to the shared folder and counted. Beyond the
+    limit, and with None, the join is left to Spark, which shuffles and splits skewed keys.
     """
+    if rows == "check":
+        lookup = cut(lookup)
+        rows = lookup.count()
     if rows is not None and rows <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
     return df.join(lookup, on, how)

@@ -138,6 +138,6 @@ def test_sampling_is_exact_and_repeatable(spark):
     folds = sample.stratified_kfold(df, "g", 10, ["k"], seed=1).groupBy("g", "fold").count().collect()
     assert {(r["g"], r["count"]) for r in folds} == {(0, 75), (1, 25)}
     assert sample.random_split(df, 0.3, ["k"]).filter("split = 'test'").count() == 300
-    assert sample.stratified_split(df, "g", 0.33, ["k"], max_labels=None).filter("split = 'test' and g = 1").count() == 83
+    assert sample.stratified_split(df, "g", 0.33, ["k"]).filter("split = 'test' and g = 1").count() == 83
     assert sample.head_sample(df, ["k"]).count() == 50
     assert sample.sample_by_key(df, "g", {0: 0.0}, ["k"]).count() == 250

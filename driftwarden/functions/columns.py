@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -107,6 +106,3 @@ def half_up(fraction: float, total: Column) -> Column:
     """``fraction`` of a count, rounded half up."""
     return F.floor(F.lit(float(fraction)) * total + F.lit(0.5))
 
-
-def lanes(total_rows: int, per_task: int) -> int:
-    return max(1, math.ceil(total_rows / per_task))

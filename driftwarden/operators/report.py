@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwarden.functions.columns import count_if, ratio, risk_band
-from driftwarden.operators.distance import melt
 from driftwarden.plans.ranks import exact_quantiles
 from driftwarden.plans.scale import lookup_join
 
@@ -208,13 +207,6 @@ def kpi_table(predictions: DataFrame, decision: DataFrame, prediction: str = "pr
     return decision.withColumn("_t", totals).select(F.inline(F.array(*rows)))
 
 
-def feature_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and population deviation per feature from one melted aggregation."""
-    return melt(df, [], columns).groupBy("feature").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("deviation"), F.count("value").alias("rows")
-    )
-
-
 def last_per_group(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """The newest n rows per key. Spark keeps only n rows per key and task before the shuffle."""
     newest = Window.partitionBy(*keys).orderBy(F.desc(order))

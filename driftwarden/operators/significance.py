@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwarden.functions.columns import count_if, flag, ratio
-from driftwarden.operators.distance import CUT, MEASURES, distances, melt, to_long_form, value_counts_by_side
+from driftwarden.operators.distance import CUT, distances, melt, to_long_form, value_counts_by_side
 from driftwarden.plans.draws import cutoffs, draw
 from driftwarden.plans.ranks import prefix_sums
 from driftwarden.plans.scale import lookup_join
@@ -449,7 +449,6 @@ def chernoff_multivariate(df: DataFrame, columns: list[str], side: str = "side",
 
 
 __all__ = [
-    "MEASURES",
     "chernoff_from_moments",
     "chernoff_multivariate",
     "chernoff_univariate",

@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwarden.plans.ranks import BEFORE_HERE
-from driftwarden.plans.scale import lookup_join
+from driftwarden.plans.scale import lookup_join, plan_bytes
 
-HEX_DIGITS = 3  # 4096 cells per key
+# First hex digits that name a cell, by bytes read: 4096, 65536 or a million cells per key, so that
+# one cell stays a task's work. The drawn rows do not depend on it.
+CELL_DIGITS = [(64 << 30, 3), (1 << 40, 4)]
+MOST_DIGITS = 5
 KEEP_ALL = "g"  # sorts after every hex string
 KEEP_NONE = ""
 
@@ -27,6 +30,12 @@ def draw(seed: int | str, tag: str, *row_key: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *[p.cast("string") for p in parts]).cast("binary"))
 
 
+def cell_digits(df: DataFrame) -> int:
+    size = plan_bytes(df)
+    fitting = [digits for limit, digits in CELL_DIGITS if size is not None and size <= limit]
+    return fitting[0] if fitting else MOST_DIGITS
+
+
 def draw_number(hex_draw: Column) -> Column:
     """First 15 hex digits as a non-negative long."""
     return F.conv(F.substring(hex_draw, 1, 15), 16, 10).cast("long")
@@ -47,7 +56,7 @@ def cutoffs(
     """
     mark = F.lit(False) if marked is None else marked
     draws = df.select(*keys, F.col(hash_col).alias("_h"), mark.alias("_mark")).withColumn(
-        "_cell", F.substring("_h", 1, HEX_DIGITS)
+        "_cell", F.substring("_h", 1, cell_digits(df))
     )
     counted = draws.groupBy(*keys, "_cell").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_mark"), 1).otherwise(0)).alias("_m")
@@ -84,10 +93,10 @@ def global_cutoff(df: DataFrame, hash_col: str, want: Callable[[Column], Column]
 def hash_ranks(df: DataFrame, keys: list[str], hash_col: str, ties: list[str], name: str) -> DataFrame:
     """Full rank of each row by draw within its key.
 
-    A key is spread over its 4096 first-digit cells, so a key that holds a third of the table is
+    A key is spread over its first-digit cells, so a key that holds a third of the table is
     still ranked by many tasks; the offsets join reuses the window's shuffle.
     """
-    celled = df.withColumn("_cell", F.substring(hash_col, 1, HEX_DIGITS))
+    celled = df.withColumn("_cell", F.substring(hash_col, 1, cell_digits(df)))
     counted = celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     across = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(*BEFORE_HERE)
     offsets = counted.select(*keys, "_cell", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_off"))

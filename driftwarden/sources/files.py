@@ -67,7 +67,10 @@ def read_flows(
 
     Absent paths are skipped, and so are files without the ``required`` columns. A line that does
     not fit the schema does not stop the job: its bad fields are null, and with ``keep_corrupt``
-    the raw line is kept in ``_corrupt_record``. Files with the same header share one scan.
+    the raw line is kept in ``_corrupt_record``. Paths with the same header share one scan.
+
+    One line per path is read to learn its header. A path may be a folder or a glob whose files share
+    a header; give a large set of files that way, so that it costs one look instead of many.
     """
     found = existing_paths(spark, paths)
     if fmt != "csv":

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import packing, shards
+from driftwarden.llm import packing, shards, substrings
 from driftwarden.llm.common import table
 from driftwarden.plans.scale import scratch_path
 
@@ -39,3 +39,26 @@ def op3(spark, sf_dir):
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+# The passage is found by its words in order; a window is named by them and by where it starts.
+OP2_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 48, 1))) AS i FROM w),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
+hit AS (SELECT g.doc_id, list(i) AS places FROM g JOIN m USING (h) WHERE low < doc_id GROUP BY g.doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(places, lambda i: range(i, i + 50)))) AS k FROM hit),
+r AS (SELECT doc_id, list(k) AS gone FROM c GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE
+         list_transform(list_filter(range(1, len(ws) + 1), lambda k: NOT list_contains(gone, k)), lambda k: ws[k]) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
+
+
+@query("op2_remove_repeats", OP2_SQL)
+def op2(spark, sf_dir):
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import packing, shards, substrings
+from driftwarden.llm import packing, quality, shards, substrings
 from driftwarden.llm.common import table
 from driftwarden.plans.scale import scratch_path
 
@@ -62,3 +62,12 @@ FROM w LEFT JOIN r USING (doc_id)
 def op2(spark, sf_dir):
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=50)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_likelihood_ratio_rules")
+def op9(spark, sf_dir):
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    found = quality.judge(table(spark, sf_dir, "documents"), trusted)
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )

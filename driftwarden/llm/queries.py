@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import packing, quality, shards, substrings
+from driftwarden.llm import decontaminate, packing, quality, shards, substrings
 from driftwarden.llm.common import table
 from driftwarden.plans.scale import scratch_path
 
@@ -71,3 +71,40 @@ def op9(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )
+
+
+OP7_SQL = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, ws[i:i + 12] AS phrase, len(ws[i:i + 12]) AS n FROM p),
+ns AS (SELECT DISTINCT n FROM w),
+s AS (SELECT doc_id, n, ws, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS i FROM d, ns),
+g AS (SELECT doc_id, n, i, ws[i:i + n - 1] AS phrase FROM s),
+hit AS (SELECT doc_id, item_id, i, g.n FROM g JOIN w ON g.n = w.n AND g.phrase = w.phrase),
+k AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hit),
+h AS (SELECT doc_id, count(*) AS n_hit FROM k GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
+      FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op7_benchmark_phrases", OP7_SQL)
+def op7(spark, sf_dir):
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )

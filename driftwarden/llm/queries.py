@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, packing, quality, shards, substrings
+from driftwarden.llm import decontaminate, packing, quality, shards, substrings, toxicity
 from driftwarden.llm.common import table
 from driftwarden.plans.scale import scratch_path
 
@@ -108,3 +108,16 @@ def op7(spark, sf_dir):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated().alias("contaminated"),
     )
+
+
+@query("op8_toxicity_machine")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.with_scores(docs, model)
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, packing, quality, shards, substrings, toxicity
+from driftwarden.llm import decontaminate, jaccard, packing, quality, shards, substrings, toxicity
 from driftwarden.llm.common import table
 from driftwarden.plans.scale import scratch_path
 
@@ -121,3 +121,24 @@ def op8(spark, sf_dir):
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[i:i + 2], ' ')) AS h FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM i JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.low AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reached) AS low FROM r GROUP BY node) c ON c.node = w.doc_id
+"""
+
+
+@query("op4_token_group_join", OP4_SQL)
+def op4(spark, sf_dir):
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), shingle=3, percent=90)

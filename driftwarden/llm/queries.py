@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, jaccard, packing, quality, shards, substrings, toxicity
+from driftwarden.llm import decontaminate, jaccard, packing, pii, quality, quotes, shards, substrings, toxicity
 from driftwarden.llm.common import table
 from driftwarden.plans.scale import scratch_path
 
@@ -142,3 +142,47 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reached) AS low FROM r
 @query("op4_token_group_join", OP4_SQL)
 def op4(spark, sf_dir):
     return jaccard.link_documents(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+@query("op5_surrogates")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_private(docs, key=b"check", count="n_replaced")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
+  regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r') AS ls FROM conversations),
+l AS (SELECT conv_id, turn, unnest(range(1, len(ls) + 1)) AS no, unnest(ls) AS line FROM m),
+q AS (SELECT *, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[ \t]', '', 'g')) AS level FROM l),
+b AS (SELECT *, trim(regexp_replace(lower(CASE WHEN level > 0 THEN regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') ELSE line END),
+      '\s+', ' ', 'g'), ' ') AS norm FROM q),
+t AS (SELECT * FROM b WHERE norm <> ''),
+s AS (SELECT *, max(CASE WHEN level = 0 THEN turn END) OVER (PARTITION BY conv_id, norm ORDER BY turn
+      RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source FROM t),
+p AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY no) AS passage FROM (
+      SELECT *, CASE WHEN lag(level) OVER (PARTITION BY conv_id, turn ORDER BY no) = level THEN 0 ELSE 1 END AS starts
+      FROM s WHERE level > 0)),
+f AS (SELECT conv_id, turn, passage, max(source) AS source, min(level) AS level FROM p GROUP BY ALL),
+best AS (SELECT conv_id, turn, count(*) AS n_quotes, count(source) AS n_linked,
+      arg_min(source, level * 1000000 - source) FILTER (WHERE source IS NOT NULL) AS quoted FROM f GROUP BY conv_id, turn),
+o AS (SELECT m.*, quoted, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked,
+      coalesce(quoted, lag(m.turn) OVER w) AS reply_to, row_number() OVER w AS position
+      FROM m LEFT JOIN best USING (conv_id, turn) WINDOW w AS (PARTITION BY m.conv_id ORDER BY m.turn)),
+r AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM o WHERE reply_to IS NULL
+      UNION ALL SELECT o.conv_id, o.turn, r.root, r.depth + 1 FROM o JOIN r ON o.conv_id = r.conv_id AND o.reply_to = r.turn),
+x AS (SELECT conv_id, turn, list_filter(range(1, len(ls) + 1), lambda i: NOT regexp_matches(ls[i], '^(?:[ \t]*>)+')
+      AND NOT (regexp_matches(ls[i], '^[^\n]{0,200}\b(?:wrote|schrieb|a écrit|escribió):[ \t]*$')
+               AND regexp_matches(coalesce(ls[i + 1], ''), '^(?:[ \t]*>)+'))) AS keep,
+      len(list_filter(ls, lambda z: regexp_matches(z, '^(?:[ \t]*>)+'))) > 0 AS quoting FROM m)
+SELECT o.conv_id, o.turn, o.role,
+       CASE WHEN quoting THEN trim(regexp_replace(array_to_string(list_transform(keep, lambda i: ls[i]), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ')
+            ELSE text END AS text,
+       o.reply_to, quoted IS NOT NULL AS linked, r.root, r.depth::BIGINT AS depth, n_quotes, n_linked, o.position
+FROM o JOIN r USING (conv_id, turn) JOIN x USING (conv_id, turn)
+"""
+
+
+@query("op6_quotation_links", OP6_SQL)
+def op6(spark, sf_dir):
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwarden.plans.ranks import BEFORE_HERE
-from driftwarden.plans.scale import lookup_join, plan_bytes
+from driftwarden.plans.scale import lookup_join, null_safe_join, plan_bytes
 
 # First hex digits that name a cell, by bytes read: 4096, 65536 or a million cells per key, so that
 # one cell stays a task's work. The drawn rows do not depend on it.
@@ -102,8 +102,7 @@ def hash_ranks(df: DataFrame, keys: list[str], hash_col: str, ties: list[str], n
     offsets = counted.select(*keys, "_cell", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, "_cell").orderBy(hash_col, *ties)
     return (
-        celled.withColumn("_run", F.row_number().over(inside))
-        .join(offsets, [*keys, "_cell"])
+        null_safe_join(celled.withColumn("_run", F.row_number().over(inside)), offsets, [*keys, "_cell"])
         .withColumn(name, (F.col("_off") + F.col("_run")).cast("long"))
         .drop("_cell", "_run", "_off")
     )

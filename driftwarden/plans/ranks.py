@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwarden.plans.scale import cut, is_small
+from driftwarden.plans.scale import cut, is_small, null_safe_join
 
 CELL = "_cell"
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -75,7 +75,7 @@ def prefix_sums(df: DataFrame, keys: list[str], value: str, adds: list[str], lay
             "_next_here": F.lead(value).over(inside),
         }
     )
-    joined = local.join(offsets, [*keys, CELL])
+    joined = null_safe_join(local, offsets, [*keys, CELL])
     return joined.select(
         *df.columns,
         *[(F.col(f"_off_{c}") + F.col(f"_run_{c}")).alias(f"cum_{c}") for c in adds],
@@ -96,7 +96,7 @@ def row_numbers(df: DataFrame, order: list[str], name: str, keys: list[str] | No
     offsets = cells.select(*keys, CELL, F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, CELL).orderBy(*order)
     local = ranged.withColumn("_run", F.row_number().over(inside))
-    return local.join(offsets, [*keys, CELL]).select(
+    return null_safe_join(local, offsets, [*keys, CELL]).select(
         *df.columns, (F.col("_off") + F.col("_run")).cast("long").alias(name)
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same names where null equals null; each key column appears once."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])
+    same = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in on]
+    joined = left.join(renamed, reduce(lambda a, b: a & b, same), how) if same else left.crossJoin(renamed)
+    return joined.drop(*[f"_r_{c}" for c in on])
+
+
 def lookup_join(
     df: DataFrame, lookup: DataFrame, on: list[str], rows: int | str | None, how: str = "inner"
 ) -> DataFrame:
@@ -81,4 +90,4 @@ def lookup_join(
         rows = lookup.count()
     if rows is not None and rows <= BROADCAST_ROWS:
         lookup = F.broadcast(lookup)
-    return df.join(lookup, on, how)
+    return null_safe_join(df, lookup, on, how)

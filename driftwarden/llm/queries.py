@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import decontaminate, jaccard, packing, pii, quality, quotes, shards, substrings, toxicity
-from driftwarden.llm.common import table
+from driftwarden.llm import counting, decontaminate, jaccard, packing, pii, quality, quotes, shards, substrings, toxicity
+from driftwarden.llm.common import stored, table
 from driftwarden.plans.scale import scratch_path
 
 QUERIES, ORACLES = {}, {}
@@ -186,3 +186,33 @@ FROM o JOIN r USING (conv_id, turn) JOIN x USING (conv_id, turn)
 @query("op6_quotation_links", OP6_SQL)
 def op6(spark, sf_dir):
     return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+def document_edits():
+    """Two edits for every document, at places that follow from its id: some characters make way for the
+    name of its source, and a stretch is deleted."""
+    size = F.length(F.coalesce("text", F.lit(""))) + 1
+    first = F.pmod(F.xxhash64("doc_id", F.lit("put")), size).cast("int")
+    second = F.pmod(F.xxhash64("doc_id", F.lit("cut")), size).cast("int")
+    put = F.concat(F.lit(" "), F.coalesce("source", F.lit("")), F.lit(". "))
+    return F.array(
+        F.struct(first.alias("start"), (first + 20).alias("end"), put.alias("put")),
+        F.struct(second.alias("start"), (second + 40).alias("end"), F.lit("").alias("put")),
+    )
+
+
+@query("op10_edit_aware_counts")
+def op10(spark, sf_dir):
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    trees = stored(counting.build_trees(docs, vocabulary), "trees")
+    edited = trees.withColumn("edits", document_edits()).withColumnRenamed("n_tokens", "n_before")
+    after = counting.apply_edits(edited.withColumn("n_tokens", F.col("n_before")), vocabulary)
+    return after.select(
+        "doc_id",
+        "n_before",
+        F.col("n_tokens").alias("n_after"),
+        F.length("text").cast("long").alias("n_chars"),
+        "n_encoded",
+        F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
+    )

@@ -68,3 +68,15 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The batch's texts, null as empty."""
     return [t or "" for t in batch.column(name).to_pylist()]
+
+
+def split_join(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with one row per key, where ``chosen`` was grouped by the same (long) keys.
+
+    A grouped side is already dealt by its keys, and Spark would join it where it lies; then it can't split
+    the rows of a hot key. Keys that differ from the grouped ones in one bit make it deal both
+    sides for the join alone, and skewed partitions are split.
+    """
+    left = rows.withColumns({f"__{c}": F.col(c).bitwiseXOR(F.lit(1)) for c in on})
+    right = chosen.withColumns({f"__{c}": F.col(c).bitwiseXOR(F.lit(1)) for c in on}).drop(*on)
+    return left.join(right, [f"__{c}" for c in on]).drop(*[f"__{c}" for c in on])

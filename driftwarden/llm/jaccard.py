@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import list_array, map_batches, row_key, small_batches, stored
+from driftwarden.llm.common import list_array, map_batches, row_key, small_batches, split_join, stored
 from driftwarden.llm.links import components
 from driftwarden.llm.mph import mix
 from driftwarden.llm.words import ODD_BASES, Words, run_hashes, slices
@@ -300,7 +300,7 @@ def class_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int)
     dealt = classes.select("doc", F.explode("tokens").alias("token"))
     spans = dealt.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     shared = spans.filter("low < high").select("token", "low")
-    near = dealt.join(shared, "token").filter("low < doc").select(F.col("doc").alias("a"), F.col("low").alias("b"))
+    near = split_join(dealt, shared, ["token"]).filter("low < doc").select(F.col("doc").alias("a"), F.col("low").alias("b"))
     families = components(near).withColumnRenamed("node", "doc").withColumnRenamed("label", "family")
     members = classes.select("doc", "rk", "n").join(families, "doc")
     texts = docs.join(members, ["doc", "rk"]).dropDuplicates(["doc", "rk"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import list_array, map_batches
+from driftwarden.llm.common import list_array, map_batches, split_join
 from driftwarden.llm.words import Words, running_min, slices
 
 
@@ -52,15 +52,15 @@ def first_level(rows: DataFrame, length: int, longer: int) -> DataFrame:
 
 
 def candidate_windows(rows: DataFrame, lengths: list[int], at: int) -> DataFrame:
-    """From (doc, text, marks): the windows of level ``at`` whose mark repeats.
+    """From (doc, part, text, marks): the windows of level ``at`` whose mark repeats.
 
-    Below the last level (doc, mark); at the last (doc, h1, h2, pos).
+    Below the last level (doc, part, mark); at the last (doc, part, h1, h2, pos).
     """
     short, length = lengths[at - 1], lengths[at]
     last = at == len(lengths) - 1
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, marks = batch.column("doc").to_numpy(), batch.column("marks")
+        docs, parts, marks = batch.column("doc").to_numpy(), batch.column("part").to_numpy(), batch.column("marks")
         out = []
         for texts, first in slices(batch):
             words = Words(texts)
@@ -70,27 +70,29 @@ def candidate_windows(rows: DataFrame, lengths: list[int], at: int) -> DataFrame
             if last:
                 where = np.flatnonzero(open_)
                 h1, h2 = words.windows(hashes, length)[where], words.windows(hashes, length, 1)[where]
-                out.append((docs[first + words.doc[where]], h1, h2, where - words.first[words.doc[where]]))
+                row = first + words.doc[where]
+                out.append((docs[row], parts[row], h1, h2, where - words.first[words.doc[where]]))
             else:
                 longer = lengths[at + 1]
                 shut = running_min(open_.astype(np.int8), longer - length + 1) == 0
                 ok = words.fits(longer) & ~shut
-                least, doc = chosen(words, hashes, length, longer)[ok], docs[first + words.doc[ok]]
+                least, row = chosen(words, hashes, length, longer)[ok], first + words.doc[ok]
                 new = np.ones(len(least), bool)
-                new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
-                out.append((doc[new], least[new]))
+                new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+                out.append((docs[row[new]], parts[row[new]], least[new]))
         columns = [np.concatenate(c) for c in zip(*out)]
         columns = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64), pa.int64()) for c in columns]
-        return pa.RecordBatch.from_arrays(columns, names=["doc", "h1", "h2", "pos"] if last else ["doc", "mark"])
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_batches(rows, run, "doc long, h1 long, h2 long, pos long" if last else "doc long, mark long")
+    names = ["doc", "part", "h1", "h2", "pos"] if last else ["doc", "part", "mark"]
+    return map_batches(rows, run, ", ".join(f"{c} long" for c in names))
 
 
 def repeated_marks(marks: DataFrame) -> DataFrame:
-    """(doc, marks): per document those of its marks that at least two documents have."""
+    """(doc, part, marks): per text those of its marks that at least two documents have."""
     spans = marks.groupBy("mark").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     shared = spans.filter("low < high").select("mark")
-    return marks.join(shared, "mark").groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+    return split_join(marks, shared, ["mark"]).groupBy("doc", "part").agg(F.collect_list("mark").alias("marks"))
 
 
 def repeated_windows(docs: DataFrame, window: int, shortest: int) -> DataFrame:
@@ -103,19 +105,21 @@ def repeated_windows(docs: DataFrame, window: int, shortest: int) -> DataFrame:
     if len(lengths) == 1:
         lengths.insert(0, -(-window // 2))
     level = first_level(docs, lengths[0], lengths[1])
+    # Texts that share a document's id are told apart by `part`.
     whole = level.groupBy("key").agg(F.min("doc").alias("doc"), F.first("marks").alias("marks"))
-    found = repeated_marks(whole.select("doc", F.explode("marks").alias("mark")))
-    least = whole.select("doc", "key")
+    whole = whole.withColumn("part", F.hash("key").cast("long"))
+    found = repeated_marks(whole.select("doc", "part", F.explode("marks").alias("mark")))
+    least = whole.select("doc", "part", "key")
     for at in range(1, len(lengths)):
-        asked = found.join(least, "doc")
-        open_ = candidate_windows(docs.join(asked, ["doc", "key"]).select("doc", "text", "marks"), lengths, at)
+        asked = found.join(least, ["doc", "part"])
+        open_ = candidate_windows(docs.join(asked, ["doc", "key"]).select("doc", "part", "text", "marks"), lengths, at)
         if at < len(lengths) - 1:
             found = repeated_marks(open_)
     minima = open_.groupBy("h1", "h2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     earlier = minima.filter("low < high").select("h1", "h2", "low")
-    again = open_.join(earlier, ["h1", "h2"]).filter("low < doc")
-    places = again.groupBy("doc").agg(F.collect_list("pos").alias("positions"))
-    return places.join(least, "doc")
+    again = split_join(open_, earlier, ["h1", "h2"]).filter("low < doc")
+    places = again.groupBy("doc", "part").agg(F.collect_list("pos").alias("positions"))
+    return places.join(least, ["doc", "part"]).drop("part")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, shortest: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,12 +133,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, shortest: int = 20, key: s
     """
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    named = rows.filter(F.col("doc").isNotNull())
+    # Both joins with the texts ask for the same rows, so the texts are dealt once.
+    named = rows.filter(F.col("doc").isNotNull() & F.col("key").isNotNull())
     least = named.groupBy("key").agg(F.min("doc").alias("low"))
     spans = repeated_windows(named, window, shortest)
     # Copies of a text go whole if the text has a window at all; the row of the smallest doc is judged by its windows.
     marked = named.join(spans, ["doc", "key"], "left")
-    copies = rows.filter(F.col("doc").isNotNull()).select("doc", "key").join(least, "key").filter("low < doc")
+    copies = named.select("doc", "key").join(least, "key").filter("low < doc")
     copied = copies.select("doc", "key", F.lit(True).alias("copy")).distinct()
     marked = marked.join(copied, ["doc", "key"], "left")
     loose = rows.filter(F.col("doc").isNull()).withColumns(

@@ -59,6 +59,18 @@ def row_key(text: Column | str = "text") -> Column:
     return F.xxhash64(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")))
 
 
+def fresh(names: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that no column of the user's has, whatever its case."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])

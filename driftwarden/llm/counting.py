@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwarden.llm.common import map_batches
+from driftwarden.llm.common import fresh, map_batches
 from driftwarden.llm.encode import Encoder, encoder
 
 SEGMENT_CHARS = 256
@@ -94,7 +94,8 @@ def build_trees(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFra
     """
     new = ("seg_chars", "seg_tokens", "n_tokens")
     names = [c for c in docs.columns if c not in new]
-    rows = docs.select(*names, F.col(text).alias("__text"))
+    (cut_from,) = fresh(docs.columns, "cut_from")
+    rows = docs.select(*names, F.col(text).alias(cut_from))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cut = [segments(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
@@ -111,7 +112,7 @@ def build_trees(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFra
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*names, *new])
 
     fields = [T.StructField("seg_chars", T.BinaryType()), T.StructField("seg_tokens", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    return map_batches(rows, run, T.StructType([*rows.drop("__text").schema.fields, *fields]))
+    return map_batches(rows, run, T.StructType([*rows.drop(cut_from).schema.fields, *fields]))
 
 
 class Edited:
@@ -161,7 +162,8 @@ def apply_edits(trees: DataFrame, vocabulary: str, edits: str = "edits", text: s
     A null text counts as empty; it becomes a text by its first edit.
     """
     names = [c for c in trees.columns if c not in (edits, "n_encoded")]
-    rows = trees.select(*names, F.col(edits).alias("__edits"))
+    (todo_of,) = fresh(trees.columns, "todo")
+    rows = trees.select(*names, F.col(edits).alias(todo_of))
     place = {c: names.index(c) for c in (text, "seg_chars", "seg_tokens", "n_tokens")}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -189,5 +191,5 @@ def apply_edits(trees: DataFrame, vocabulary: str, edits: str = "edits", text: s
         out[place["n_tokens"]] = pa.array([int(d.tree.tokens[1]) for d in docs], pa.int64())
         return pa.RecordBatch.from_arrays([*out, pa.array([d.encoded for d in docs], pa.int64())], names=[*names, "n_encoded"])
 
-    fields = [*rows.drop("__edits").schema.fields, T.StructField("n_encoded", T.LongType())]
+    fields = [*rows.drop(todo_of).schema.fields, T.StructField("n_encoded", T.LongType())]
     return map_batches(rows, run, T.StructType(fields))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwarden.llm.common import map_batches, stored
+from driftwarden.llm.common import fresh, map_batches, stored
 
 # Draws in the entity's own format; each later one is a character longer, so a full format never blocks.
 TRIES = 12
@@ -297,19 +297,20 @@ def replace_private(docs: DataFrame, key: bytes, text: str = "text", count: str
     any name are kept. An empty table stays empty.
     """
     names = [c for c in docs.columns if c != count]
+    key_of, pairs_of, hits_of = fresh(names, "id", "new", "hits")
     rows = docs.select(*[F.col(c) for c in names])
     hinted = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
     clean = rows.filter(~hinted)
-    open_ = rows.filter(hinted).withColumn("__id", F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))))
-    texts = open_.select(F.col("__id").alias("id"), F.col(text).alias("text")).dropDuplicates(["id"])
+    open_ = rows.filter(hinted).withColumn(key_of, F.unhex(F.md5(F.encode(F.col(text), "UTF-8"))))
+    texts = open_.select(F.col(key_of).alias("id"), F.col(text).alias("text")).dropDuplicates(["id"])
     found = stored(entity_table(texts), "entities")
     table = assign(found.select("kind", "canon").distinct(), key)
     per_text = (
         found.join(table, ["kind", "canon"])
-        .groupBy(F.col("id").alias("__id"))
-        .agg(F.collect_list(F.struct("kind", "canon", "new")).alias("__new"))
+        .groupBy(F.col("id").alias(key_of))
+        .agg(F.collect_list(F.struct("kind", "canon", "new")).alias(pairs_of))
     )
-    joined = open_.join(per_text, "__id", "left").drop("__id")
+    joined = open_.join(per_text, key_of, "left").drop(key_of)
     place = names.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -322,8 +323,8 @@ def replace_private(docs: DataFrame, key: bytes, text: str = "text", count: str
             new.append(replaced(value, hits, lambda k, c: at[(k, c)]) if hits else value)
         columns = list(batch.columns[:-1])
         columns[place] = pa.array(new, pa.string())
-        return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "__count"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, hits_of])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("__count", T.LongType())])
-    done = map_batches(joined, run, schema).unionByName(clean.withColumn("__count", F.lit(0).cast("long")))
-    return done.withColumnRenamed("__count", count) if count else done.drop("__count")
+    schema = T.StructType([*rows.schema.fields, T.StructField(hits_of, T.LongType())])
+    done = map_batches(joined, run, schema).unionByName(clean.withColumn(hits_of, F.lit(0).cast("long")))
+    return done.withColumnRenamed(hits_of, count) if count else done.drop(hits_of)

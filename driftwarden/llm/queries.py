@@ -176,7 +176,7 @@ x AS (SELECT conv_id, turn, list_filter(range(1, len(ls) + 1), lambda i: NOT reg
                AND regexp_matches(coalesce(ls[i + 1], ''), '^(?:[ \t]*>)+'))) AS keep,
       len(list_filter(ls, lambda z: regexp_matches(z, '^(?:[ \t]*>)+'))) > 0 AS quoting FROM m)
 SELECT o.conv_id, o.turn, o.role,
-       CASE WHEN quoting THEN trim(regexp_replace(array_to_string(list_transform(keep, lambda i: ls[i]), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ')
+       CASE WHEN quoting THEN regexp_replace(regexp_replace(array_to_string(list_transform(keep, lambda i: ls[i]), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')
             ELSE text END AS text,
        o.reply_to, quoted IS NOT NULL AS linked, r.root, r.depth::BIGINT AS depth, n_quotes, n_linked, o.position
 FROM o JOIN r USING (conv_id, turn) JOIN x USING (conv_id, turn)

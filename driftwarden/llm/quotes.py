@@ -66,7 +66,7 @@ def own_text(text: Column) -> Column:
         return ~F.get(quoted, i) & ~(x.rlike(INTRO) & following)
 
     rest = F.array_join(F.filter(lines, kept), "\n")
-    return F.when(F.exists(quoted, lambda q: q), F.trim(F.regexp_replace(rest, r"\n{3,}", "\n\n"))).otherwise(
+    return F.when(F.exists(quoted, lambda q: q), F.regexp_replace(F.regexp_replace(rest, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")).otherwise(
         F.when(n > 0, F.coalesce(text, F.lit("")))
     )
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import map_batches
+from driftwarden.llm.common import fresh, map_batches
 from driftwarden.llm.decontaminate import FOLD
 
 BUCKETS = 1 << 18
@@ -225,7 +225,8 @@ def with_scores(docs: DataFrame, model: bytes, text: str = "text", into: str = "
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: list[Scorer] = []
     kept = [c for c in docs.columns if c != into]
-    rows = docs.select(*kept, F.col(text).alias("_scored_text"))
+    (scored,) = fresh(docs.columns, "scored")
+    rows = docs.select(*kept, F.col(text).alias(scored))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
@@ -233,5 +234,5 @@ def with_scores(docs: DataFrame, model: bytes, text: str = "text", into: str = "
         scores = made[0].score([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*kept, into])
 
-    schema = rows.drop("_scored_text").schema.add(into, "double")
+    schema = rows.drop(scored).schema.add(into, "double")
     return map_batches(rows, run, schema)

@@ -28,6 +28,17 @@ def s1(spark, sf_dir):
     return sources.read_flows(spark, [path, path + "-absent"], _parse_datatype_string(CSV_SCHEMA), required=["label", "dst_port"])
 
 
+@query("s1_read_flows_mixed_folder", with_ctes(FLOW, select=f"SELECT {FLOW_LIST} FROM flow WHERE dst_port <> 7"))
+def s1_mixed(spark, sf_dir):
+    """One folder whose files differ in the order of their columns; files without a label are left out."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    path, rows = scratch_path(spark, "flows-mixed"), views.flow_view(spark, sf_dir).select(*FLOW_COLUMNS)
+    for part, columns in (("dst_port < 4", FLOW_COLUMNS), ("dst_port in (4, 5, 6)", FLOW_COLUMNS[::-1]), ("dst_port = 7", FLOW_COLUMNS[:-1])):
+        rows.filter(part).select(*columns).write.mode("append").option("header", True).csv(path)
+    return sources.read_flows(spark, [path], _parse_datatype_string(CSV_SCHEMA), required=["label", "dst_port"])
+
+
 @query("s1_read_flows_parquet", "SELECT l_orderkey, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity > 25")
 def s1_parquet(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema

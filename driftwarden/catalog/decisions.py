@@ -314,6 +314,19 @@ def r7(spark, sf_dir):
     )
 
 
+@query(
+    "r7_decide_unknown_class",
+    with_ctes(*BASELINE_SQL, *RUNTIME_SQL, select="""
+SELECT data, 'HUMAN_INTERVENTION' AS decision, 'LOW' AS confidence_level, 3 AS decision_code, 'HIGH' AS risk_level
+FROM runtime GROUP BY data HAVING bool_or(class NOT IN (SELECT class FROM baseline WHERE class = 0))"""),
+)
+def r7_unknown(spark, sf_dir):
+    """The baseline knows class 0 alone, so no data set with rows of class 1 may run on its own."""
+    known = baseline(spark, sf_dir).filter("class = 0")
+    found = decide.verdict(known, runtime(spark, sf_dir), ["data"])
+    return found.select("data", "decision", "confidence_level", "decision_code", "risk_level")
+
+
 @query(
     "r9_tag_class_results",
     with_ctes(*BASELINE_SQL, select="""

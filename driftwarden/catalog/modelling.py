@@ -78,13 +78,13 @@ def m1(spark, sf_dir):
 
 @query("m2_fit_forest")
 def m2(spark, sf_dir):
-    return quality(spark, sf_dir, lambda train: models.fit_forest(train, SCORED, trees=20))
+    return quality(spark, sf_dir, lambda train: models.fit_forest(train, SCORED))
 
 
 @query("m3_fit_mlp_history")
 def m3(spark, sf_dir):
     train, _ = split(spark, sf_dir)
-    return models.fit_mlp(train, SCORED, hidden=(16, 8), epochs=20, block=10).history
+    return models.fit_mlp(train, SCORED).history
 
 
 @query("m4_knn_classify")
@@ -104,6 +104,25 @@ def m5(spark, sf_dir):
     return report.prediction_summary(scored)
 
 
+@query(
+    "m5_score_totals",
+    with_ctes(FLOW, select="""
+SELECT count(*) AS rows, count(*) AS probabilities, count(*) AS decided, count(*) AS labelled, count(*) AS banded FROM flow WHERE side = 'runtime'"""),
+)
+def m5_totals(spark, sf_dir):
+    """Every row gets a probability, the decision that follows from it, its text and one of the bands."""
+    train, runtime = split(spark, sf_dir)
+    scored = models.score(runtime, models.fit_logistic(train, SCORED), SCORED)
+    p, one = F.col("prediction_probability"), F.col("prediction") == 1
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(p.between(0.0, 1.0)).alias("probabilities"),
+        F.count_if(one == (p > 0.5)).alias("decided"),
+        F.count_if(F.col("prediction_label").isNotNull() & F.col("prediction").isin(0, 1)).alias("labelled"),
+        F.count_if(F.col("risk_level").isNotNull()).alias("banded"),
+    )
+
+
 @query("s7_save_load_model")
 def s7(spark, sf_dir):
     train, runtime = split(spark, sf_dir)
@@ -112,6 +131,34 @@ def s7(spark, sf_dir):
     return report.risk_counts(models.score(runtime, sources.load_model(path), SCORED))
 
 
+@query(
+    "s7_reloaded_model_scores",
+    with_ctes(FLOW, select="SELECT count(*) AS rows, 0::BIGINT AS differing FROM flow WHERE side = 'runtime'"),
+)
+def s7_same(spark, sf_dir):
+    """A stored model scores every row as it did before."""
+    train, runtime = split(spark, sf_dir)
+    path, fitted = scratch_path(spark, "model"), models.fit_logistic(train, SCORED)
+    sources.save_model(fitted, path)
+    before = models.score(runtime, fitted, SCORED).withColumnRenamed("prediction_probability", "before")
+    after = models.score(before.drop("prediction", "prediction_label", "risk_level"), sources.load_model(path), SCORED)
+    changed = ~F.col("before").eqNullSafe(F.col("prediction_probability"))
+    return after.agg(F.count(F.lit(1)).alias("rows"), F.count_if(changed).alias("differing"))
+
+
+@query(
+    "e4_explained_variance_two",
+    with_ctes(FLOW, """
+c AS (SELECT corr(CAST(flow_duration AS DOUBLE), CAST(pkt_len_mean AS DOUBLE)) AS r FROM flow)""", select="""
+SELECT round((1 + abs(r)) / 2, 6) AS first, round((1 - abs(r)) / 2, 6) AS second FROM c"""),
+)
+def e4_two(spark, sf_dir):
+    """Of two scaled columns the shares have a closed form: half of one plus or minus the correlation."""
+    found = features.explained_variance(views.flow_view(spark, sf_dir), ["flow_duration", "pkt_len_mean"], scale=True)
+    share = found.agg(F.max("explained").alias("a"), F.min("explained").alias("b"))
+    return share.select(F.round("a", 6).alias("first"), F.round("b", 6).alias("second"))
+
+
 @query("r8_permutation_study")
 def r8(spark, sf_dir):
     flows = views.flow_view(spark, sf_dir)

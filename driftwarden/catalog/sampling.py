@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from driftwarden import views
 from driftwarden.catalog.base import FLOW, query, with_ctes
 from driftwarden.operators import sample
@@ -102,3 +104,47 @@ WHERE place <= greatest(50, CAST(floor(CAST(0.0008 AS DOUBLE) * n) AS BIGINT))""
 )
 def x6(spark, sf_dir):
     return sample.head_sample(flows(spark, sf_dir), KEY).select("row_key", "dst_port")
+
+
+# The same over rows of which some have no label: null is a stratum like any other.
+UNLABELLED = f"""
+flow_null AS (SELECT * REPLACE (CASE WHEN dst_port = 4 THEN NULL ELSE label END AS label) FROM flow)
+"""
+
+
+def unlabelled_flows(spark, sf_dir):
+    rows = flows(spark, sf_dir)
+    return rows.withColumn("label", F.when(F.col("dst_port") == 4, F.lit(None)).otherwise(F.col("label")))
+
+
+X4_NULL = with_ctes(FLOW, UNLABELLED, select=f"""
+SELECT row_key, label, CASE WHEN {place('stratified_split', 'label')} <= floor(CAST(0.33 AS DOUBLE) * count(*) OVER (PARTITION BY label) + 0.5)
+  THEN 'test' ELSE 'train' END AS split FROM flow_null""")
+
+X5_NULL = with_ctes(FLOW, UNLABELLED, select="""
+SELECT row_key, label, CAST((row_number() OVER (PARTITION BY label ORDER BY row_key) - 1) % 10 AS INTEGER) AS fold FROM flow_null""")
+
+
+@query("x4_stratified_split_null_labels", X4_NULL)
+def x4_null(spark, sf_dir):
+    return sample.stratified_split(unlabelled_flows(spark, sf_dir), "label", 0.33, KEY).select("row_key", "label", "split")
+
+
+@query("x5_kfold_null_labels", X5_NULL)
+def x5_null(spark, sf_dir):
+    found = sample.stratified_kfold(unlabelled_flows(spark, sf_dir), "label", 10, KEY, layout="window")
+    return found.select("row_key", "label", "fold")
+
+
+@query("x5_kfold_null_labels_split", X5_NULL)
+def x5_null_split(spark, sf_dir):
+    found = sample.stratified_kfold(unlabelled_flows(spark, sf_dir), "label", 10, KEY, layout="split")
+    return found.select("row_key", "label", "fold")
+
+
+@query(
+    "x5_kfold_null_labels_shuffled",
+    with_ctes(FLOW, UNLABELLED, select=f"SELECT row_key, label, CAST(({place('stratified_kfold', 'label', 3)} - 1) % 3 AS INTEGER) AS fold FROM flow_null"),
+)
+def x5_null_shuffled(spark, sf_dir):
+    return sample.stratified_kfold(unlabelled_flows(spark, sf_dir), "label", 3, KEY, seed=3).select("row_key", "label", "fold")

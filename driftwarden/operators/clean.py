@@ -95,12 +95,12 @@ def binarise_label(df: DataFrame, column: str, output: str = "binary") -> DataFr
     The check and the codes come from one two-valued aggregate (smallest and largest value)."""
     ends = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high")).alias("e")).scalar()
     low, high = ends.getField("low"), ends.getField("high")
-    wrong = F.raise_error(F.concat(F.lit(f"{column} has more than two classes: "), F.col(column).cast("string")))
+    wrong = F.raise_error(F.concat(F.lit(f"{column} has not two classes: "), F.col(column).cast("string")))
     return df.withColumn(
         output,
         F.when(F.col(column).isNull(), F.lit(None).cast("int"))
-        .when(F.col(column) == low, F.lit(0))
-        .when(F.col(column) == high, F.lit(1))
+        .when((F.col(column) == low) & (low != high), F.lit(0))
+        .when((F.col(column) == high) & (low != high), F.lit(1))
         .otherwise(wrong.cast("int")),
     )
 

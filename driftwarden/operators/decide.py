@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwarden.functions.columns import any_of, count_if, graded, nan_to_null
+from driftwarden.plans.scale import null_safe_join
 
 # Lower similarity edge, share of accuracy kept, name of the band.
 ACCURACY_BANDS = [
@@ -29,15 +30,17 @@ STABLE_MEASURES = 4
 
 AUTONOMOUS, HUMAN = "AUTONOMOUS", "HUMAN_INTERVENTION"
 REASONS = {
-    "several": "Multiple high-confidence factors support autonomous operation",
-    "majority": "Majority of factors support autonomous operation",
-    "issues": "Majority of factors indicate potential issues",
+    "several": "Two or more votes are for running alone with high confidence",
+    "majority": "More votes are for running alone than against it",
+    "issues": "No majority of the votes is for running alone",
+    "unknown": "A class of the new data has no baseline to compare with",
 }
 MESSAGES = {
-    1: "All indicators support autonomous operation - System highly reliable",
-    2: "System can operate autonomously with increased monitoring",
-    3: "Multiple indicators suggest reliability issues - Human intervention required",
+    1: "The classifier can be trusted on this data",
+    2: "The classifier may go on, but should be watched closely",
+    3: "The classifier should not be trusted on this data without a person",
 }
+# Output texts of each decision code.
 ACTIONS = {1: "🟢 AUTONOMOUS OPERATION", 2: "🟡 ENHANCED MONITORING", 3: "🔴 HUMAN OVERSIGHT REQUIRED"}
 RISKS = {1: "LOW", 2: "MEDIUM", 3: "HIGH"}
 
@@ -60,12 +63,15 @@ def first_baseline(baseline: DataFrame) -> DataFrame:
 
 def distance_ratios(best: DataFrame, runtime: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Runtime and baseline distance side by side, and their ratio: null where the baseline
-    distance is null, NaN or 0."""
+    distance is null, NaN or 0, or where the class has no baseline (``known`` is then false)."""
     keys = list(keys or [])
-    base = best.select("class", "measure", F.col("accuracy"), F.col("distance").alias("train_distance"))
+    base = best.select(
+        "class", "measure", F.col("accuracy"), F.col("distance").alias("train_distance"), F.lit(True).alias("known")
+    )
     now = runtime.select(*keys, "class", "measure", F.col("distance").alias("runtime_distance"))
     usable = F.nullif(nan_to_null("train_distance"), F.lit(0.0))
-    return now.join(base, ["class", "measure"]).withColumn("ratio", F.col("runtime_distance") / usable)
+    joined = null_safe_join(now, base, ["class", "measure"], "left")
+    return joined.withColumns({"ratio": F.col("runtime_distance") / usable, "known": F.coalesce("known", F.lit(False))})
 
 
 def assess_classes(best: DataFrame, runtime: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -92,6 +98,7 @@ def assess_classes(best: DataFrame, runtime: DataFrame, keys: list[str] | None =
             F.max("accuracy").alias("class_accuracy"),
             stable.alias("stable_count"),
             F.when(stable >= STABLE_MEASURES, "stable").otherwise("unstable").alias("badge"),
+            F.bool_or("known").alias("has_baseline"),
         )
         .withColumns(
             {
@@ -117,7 +124,8 @@ def weighted_similarity(similarity: DataFrame, keys: list[str] | None = None) ->
 
     The class figures are kept in the array ``classes``."""
     keys = list(keys or [])
-    kept = [c for c in ("class", "average_similarity", "valid_measures", "stable_count") if c in similarity.columns]
+    listed = ("class", "average_similarity", "valid_measures", "stable_count", "has_baseline")
+    kept = [c for c in listed if c in similarity.columns]
     weight = F.when(F.col("valid_measures") > 0, nan_to_null(F.col("valid_measures") * F.col("class_accuracy")))
     grouped = similarity.groupBy(*keys) if keys else similarity.groupBy()
     total = F.sum(weight)
@@ -219,7 +227,14 @@ def stability(best: DataFrame, runtime: DataFrame, keys: list[str] | None = None
 
 
 def decide(voted: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Decision code, action and risk, with the number of stable measures per class."""
+    """Decision code, action and risk, with the number of stable measures per class.
+
+    A class of the new data without any baseline can't be judged: whatever the votes, the decision is
+    then code 3 with low confidence."""
+    if "has_baseline" in [f.name for f in voted.schema["classes"].dataType.elementType.fields]:
+        unknown = F.exists("classes", lambda c: ~c["has_baseline"])
+        forced = {"decision": HUMAN, "confidence_level": "LOW", "reason": REASONS["unknown"]}
+        voted = voted.withColumns({c: F.when(unknown, F.lit(v)).otherwise(F.col(c)) for c, v in forced.items()})
     run_alone = F.col("decision") == AUTONOMOUS
     code = F.when(run_alone & (F.col("confidence_level") == "HIGH"), 1).when(run_alone, 2).otherwise(3)
 

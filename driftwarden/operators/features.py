@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwarden.functions.columns import ratio
@@ -40,11 +40,17 @@ def select_k_best(df: DataFrame, label: str, columns: list[str], k: int = 10) ->
     return anova_f_scores(df, label, columns).orderBy(F.desc_nulls_last("f_score"), "feature").limit(k)
 
 
+def finite(column: str) -> Column:
+    """The column as a double; null, NaN and infinities count as 0."""
+    x = F.col(column).cast("double")
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
 def scaling_moments(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation per column: one row reaches the driver."""
+    """Mean and population deviation of the cleaned values per column: one row reaches the driver."""
     row = train.agg(
-        *[F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(columns)],
+        *[F.avg(finite(c)).alias(f"m_{i}") for i, c in enumerate(columns)],
+        *[F.stddev_pop(finite(c)).alias(f"s_{i}") for i, c in enumerate(columns)],
     ).first()
     return {c: (row[f"m_{i}"] or 0.0, row[f"s_{i}"] or 0.0) for i, c in enumerate(columns)}
 
@@ -55,7 +61,7 @@ def standardise(train: DataFrame, apply_to: DataFrame, columns: list[str], suffi
     The moments come as one scalar subquery, so nothing is joined."""
     moments = train.agg(
         F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]
+            *[F.avg(finite(c)).alias(f"m_{c}") for c in columns], *[F.stddev_pop(finite(c)).alias(f"s_{c}") for c in columns]
         ).alias("m")
     ).scalar()
     with_moments = apply_to.withColumn("_m", moments)

@@ -17,6 +17,7 @@ Two forms give such draws:
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -124,26 +125,45 @@ def hash_pvalues(
 # --- draws from counts ------------------------------------------------------------------------
 
 
+def _log_factorial_step(start: float, step: float) -> float:
+    """log((start + step)!) - log(start!) without the cancellation of two large logarithms."""
+    end = start + step
+    if min(start, end) < 1000:
+        return math.lgamma(end + 1) - math.lgamma(start + 1)
+    tail = (1 / end - 1 / start) / 12 - (1 / end**3 - 1 / start**3) / 360
+    return (start + 0.5) * math.log1p(step / start) + step * math.log(end) - step + tail
+
+
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     """Number of good items among n drawn without replacement, for populations of any size.
 
-    Beyond numpy's limit the distribution is inverted around its mode from exact ratios of
-    neighbouring probabilities; beyond ten standard deviations the mass is below what a double can
-    add to one."""
+    Ratio of uniforms with a table-mountain hat (Stadlober): about the same few tries for any
+    population, and no part of the distribution is cut. Numpy's generator does the same below its limit."""
     low, high = max(0, n - bad), min(n, good)
     if low >= high:
         return low
-    if good + bad < EXACT_POPULATION:
-        return int(rng.hypergeometric(good, bad, n))
     total = good + bad
+    if total < EXACT_POPULATION:
+        return int(rng.hypergeometric(good, bad, n))
     mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
-    spread = np.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)))
-    reach = int(10 * spread) + 50
-    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.float64)
-    step = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - n + k[:-1] + 1)
-    weight = np.concatenate([[0.0], np.cumsum(step)])
-    mass = np.cumsum(np.exp(weight - weight.max()))
-    return int(k[min(np.searchsorted(mass, rng.random() * mass[-1]), len(k) - 1)])
+    mean = n * (good / total)
+    width = math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)) + 0.5)
+    # 2 * sqrt(2 / e) and 3 - 2 * sqrt(3 / e), the hat's width and offset.
+    reach = 2 * math.sqrt(2 / math.e) * width + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = 1.0 - rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + reach * (v - 0.5) / u)
+        if not low <= k <= high:
+            continue
+        d = k - mode
+        height = -(
+            _log_factorial_step(mode, d)
+            + _log_factorial_step(good - mode, -d)
+            + _log_factorial_step(n - mode, -d)
+            + _log_factorial_step(bad - n + mode, d)
+        )
+        if 2 * math.log(u) <= height:
+            return int(k)
 
 
 def split_draw(rng: np.random.Generator, sizes: np.ndarray, n: int) -> np.ndarray:

@@ -1,11 +1,13 @@
 """Reading and writing flow tables, baselines, reports and models."""
 from driftwarden.sources.files import (  # noqa: F401
     FLOW_SCHEMA,
+    csv_headers,
     existing_paths,
     read_flow_stream,
     read_flows,
     report_json,
     require_columns,
+    skipped_files,
     union_sources,
     write_predictions,
     write_report,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +52,37 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     return found
 
 
-def _csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV source: one line is read, no schema inference over the data."""
-    rows = spark.read.option("header", False).csv(path).limit(1).collect()
-    return [v.strip() if v else "" for v in rows[0]] if rows else []
+def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Column names of every CSV file below the paths, by file; files without a line are left out.
+
+    One job with a task per file, which ends after the file's first line; a row per file reaches the driver."""
+    # A file fills its partition whatever its size, so no task has two files or part of one.
+    whole = {"spark.sql.files.maxPartitionBytes": str(1 << 50), "spark.sql.files.openCostInBytes": str(1 << 50)}
+    before = {k: spark.conf.get(k) for k in whole}
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+    def first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    try:
+        for key, value in whole.items():
+            spark.conf.set(key, value)
+        found = lines.mapInArrow(first_line, "file string, line string").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    return {r.file: [name.strip() for name in next(csv.reader([r.line.lstrip("\ufeff")]), [])] for r in found}
+
+
+def skipped_files(spark: SparkSession, paths: list[str], required: list[str]) -> DataFrame:
+    """(path, missing): the CSV files that ``read_flows`` leaves out, with the required columns each lacks."""
+    found = existing_paths(spark, paths)
+    headers = csv_headers(spark, found) if found else {}
+    rows = [(f, sorted(set(required) - set(h))) for f, h in sorted(headers.items())]
+    return spark.createDataFrame([r for r in rows if r[1]], "path string, missing array<string>")
 
 
 def read_flows(
@@ -62,19 +92,21 @@ def read_flows(
     fmt: str = "csv",
     required: list[str] | None = None,
     keep_corrupt: bool = False,
+    ignore_corrupt_files: bool = False,
 ) -> DataFrame:
     """Read flow files with a fixed schema.
 
-    Absent paths are skipped, and so are files without the ``required`` columns. A line that does
-    not fit the schema does not stop the job: its bad fields are null, and with ``keep_corrupt``
-    the raw line is kept in ``_corrupt_record``. Paths with the same header share one scan.
+    Absent paths are skipped, and so are files without the ``required`` columns (``skipped_files``
+    lists them). A line that does not fit the schema does not stop the job: its bad fields are null,
+    and with ``keep_corrupt`` the raw line is kept in ``_corrupt_record``. A file that can't be read
+    is an error, unless ``ignore_corrupt_files`` says that the rest of such files may be missing.
 
-    One line per path is read to learn its header. A path may be a folder or a glob whose files share
-    a header; give a large set of files that way, so that it costs one look instead of many.
+    A path may be a file, a folder or a glob. Every CSV file's own header is looked up, in one job;
+    files with the same header share one scan.
     """
     found = existing_paths(spark, paths)
     if fmt != "csv":
-        reader = spark.read.schema(schema).option("ignoreCorruptFiles", True)
+        reader = spark.read.schema(schema).option("ignoreCorruptFiles", ignore_corrupt_files)
         if required:
             found = [p for p in found if set(required) <= set(spark.read.format(fmt).load(p).columns)]
         if not found:
@@ -82,11 +114,9 @@ def read_flows(
         return reader.format(fmt).load(found)
 
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for path in found:
-        header = _csv_header(spark, path)
-        if required and not set(required) <= set(header):
-            continue
-        by_header.setdefault(tuple(header), []).append(path)
+    for path, header in (csv_headers(spark, found) if found else {}).items():
+        if not required or set(required) <= set(header):
+            by_header.setdefault(tuple(header), []).append(path)
     want = {f.name: f for f in schema.fields}
     parts = []
     for header, files in by_header.items():
@@ -99,7 +129,7 @@ def read_flows(
             .option("enforceSchema", True)
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", CORRUPT)
-            .option("ignoreCorruptFiles", True)
+            .option("ignoreCorruptFiles", ignore_corrupt_files)
             .csv(files)
         )
         have = set(header)
@@ -147,10 +177,12 @@ def read_flow_stream(
     fmt: str = "csv",
     max_files: int | None = None,
 ) -> DataFrame:
-    """Unbounded source over a folder into which flow files arrive."""
+    """Unbounded source over a folder into which flow files arrive.
+
+    A CSV file whose header differs from the schema stops the stream instead of being read by position."""
     reader = spark.readStream.schema(schema).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.option("header", True).option("enforceSchema", False)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)

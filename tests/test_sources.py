@@ -114,3 +114,17 @@ def test_mlp_learns_and_stops(spark):
     assert fit.history.count() <= 3 and fit.summary.first()["best_accuracy"] > 0.9
     with pytest.raises(ValueError):
         models.score(df.drop("b"), fit.model, ["a", "b"])
+
+
+def test_files_of_one_folder_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("dst_port,Label,flow_duration\n80,1,5.5\n443,0,6.5\n")
+    (tmp_path / "b.csv").write_text("flow_duration, dst_port ,Label\n300,22,1\n")
+    (tmp_path / "c.csv").write_text("dst_port,flow_duration\n1,2\n")
+    (tmp_path / "d.csv").write_text("")
+    path = str(tmp_path)
+    rows = sources.read_flows(spark, [path], required=["Label"]).collect()
+    assert sorted((r.dst_port, r.Label, r.flow_duration) for r in rows) == [(22, 1, 300.0), (80, 1, 5.5), (443, 0, 6.5)]
+    skipped = sources.skipped_files(spark, [path], ["Label"]).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.missing) for r in skipped] == [("c.csv", ["Label"])]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert sources.csv_headers(spark, [path + "/*.csv"]) and spark.conf.get("spark.sql.files.maxPartitionBytes") == before

@@ -238,7 +238,8 @@ def read_store(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_
     found = first.unionByName(_probe(more, path, index, buckets)).drop("run", "runs")
     named = asked.join(found, "h").select("key", "shard", "ordinal", "copies")
     routed = named.join(manifest.select(F.col("shard").cast("long"), "file", "base"), "shard")
-    routed = routed.repartition("shard").sortWithinPartitions("shard", "ordinal")
+    # A row here stands for a document's payload, so small rows must not be put together into few tasks.
+    routed = routed.repartition(max(1, manifest.count()), "shard").sortWithinPartitions("shard", "ordinal")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, shard = None, None

@@ -267,7 +267,7 @@ def count_pvalues(
 
     def draw_bucket(key: tuple, rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("value")
-        group, bucket = key[:-1], int(key[-1])
+        group, bucket = key[:-2], int(key[-2])
         x, y = rows["x"].to_numpy(np.int64), rows["y"].to_numpy(np.int64)
         value, following = rows["value"].to_numpy(float), rows["next_value"].to_numpy(float)
         nx, ny = int(rows["nx"].iloc[0]), int(rows["ny"].iloc[0])
@@ -282,9 +282,13 @@ def count_pvalues(
             found.append((*group, int(b), *partial_measures(ex, fy, value, following, off_e, off_f, nx, ny, less)))
         return pd.DataFrame(found, columns=[*keys, "b", *PARTIALS])
 
+    # A bucket of counts is small and is repeated per chunk of replicates, so that no task has them all.
+    every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
+    of_chunk = parts.withColumn("chunk", F.floor(F.col("b") / B_CHUNK).cast("int"))
     pieces = (
-        placed.groupBy(*keys, "bucket")
-        .cogroup(parts.groupBy(*keys, "bucket"))
+        placed.withColumn("chunk", every_chunk)
+        .groupBy(*keys, "bucket", "chunk")
+        .cogroup(of_chunk.groupBy(*keys, "bucket", "chunk"))
         .applyInPandas(draw_bucket, f"{key_schema}, b int, " + ", ".join(f"{c} double" for c in PARTIALS))
     )
     whole = pieces.groupBy(*keys, "b").agg(

@@ -167,9 +167,9 @@ votes AS (
 voted AS (
   SELECT *, CASE WHEN high_votes >= 2 OR autonomous_votes > human_votes THEN 'AUTONOMOUS' ELSE 'HUMAN_INTERVENTION' END AS decision,
          CASE WHEN high_votes >= 2 THEN 'HIGH' WHEN autonomous_votes > human_votes THEN 'MODERATE' ELSE 'LOW' END AS confidence_level,
-         CASE WHEN high_votes >= 2 THEN 'Multiple high-confidence factors support autonomous operation'
-              WHEN autonomous_votes > human_votes THEN 'Majority of factors support autonomous operation'
-              ELSE 'Majority of factors indicate potential issues' END AS reason
+         CASE WHEN high_votes >= 2 THEN 'Two or more votes are for running alone with high confidence'
+              WHEN autonomous_votes > human_votes THEN 'More votes are for running alone than against it'
+              ELSE 'No majority of the votes is for running alone' END AS reason
   FROM votes)
 """
 

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as spec
 from check import compare, connect
+from driftwarden import catalog
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,7 @@ def test_every_sql_has_a_query():
     assert set(spec.oracle_sql()) <= set(spec.queries())
 
 
-@pytest.mark.parametrize("name", list(spec.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, sf, name):
     found = compare(spark, con, name, sf)
     if name in spec.oracle_sql():

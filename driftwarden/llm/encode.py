@@ -21,10 +21,10 @@ KEPT_PIECES = 600_000
 SLICE_BYTES = 2 << 20
 GROUP = 64
 
-# White space other than a lone space or line break inside the text, and the two marks used here.
+# White space other than lone spaces and line breaks before something visible, and the two marks used here.
 ODD = (
     r"[\x00\x01\x09\x0B-\x0D\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}"
-    r"\x{205F}-\x{2064}\x{3000}\x{FEFF}]|[ \n][ \n]|^[ \n]|[ \n]$|\z[ ]|\A[ \n]|[ \n]\z"
+    r"\x{205F}-\x{2064}\x{3000}\x{FEFF}]|[ \n][ \n]|[ \n]\z"
 )
 SAFE_CUT = re.compile(r"(?<=[^\s\x00-\x20])(?= [^\s\x00-\x20])")
 SEPARATOR = "\n\x01\n"
@@ -74,7 +74,10 @@ class Encoder:
         """Encode new pieces, many in one call with a mark between them."""
         alone, joint = [], []
         for p in pieces:
-            (alone if self.mark is None or "\x01" in p or not p or p[-1] in " \n" or p.isspace() else joint).append(p)
+            # White space at either end would meet the line break of the mark; a space before a word does not.
+            word = p[1:] if p[:1] == " " else p
+            lonely = self.mark is None or "\x01" in p or not word or word[0] <= " " or word[0].isspace() or p[-1].isspace()
+            (alone if lonely else joint).append(p)
         groups = [joint[i : i + GROUP] for i in range(0, len(joint), GROUP)]
         encoded = self.tokenizer.encode_batch_fast([SEPARATOR.join(g) for g in groups], add_special_tokens=False)
         for group, encoding in zip(groups, encoded):
@@ -122,9 +125,11 @@ class Encoder:
             cut = pc.replace_substring_regex(cut, r"([0-9A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{00FF}])([.,])", "\\1\x00\\2")
             for i, ids in zip(where, self._pieces_to_ids(pc.split_pattern(cut, "\x00"))):
                 out[i] = ids
-        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
-            pieces = pa.array([SAFE_CUT.split(texts[i].as_py())], pa.list_(pa.string()))
-            out[i] = self._pieces_to_ids(pieces)[0]
+        where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(where):
+            pieces = [SAFE_CUT.split(t) for t in texts.filter(odd).to_pylist()]
+            for i, ids in zip(where, self._pieces_to_ids(pa.array(pieces, pa.list_(pa.string())))):
+                out[i] = ids
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:

@@ -349,7 +349,9 @@ def link_documents(
     node = named.groupBy("key").agg(F.min("doc").alias("node"))
     where = node.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     # A key with several texts takes the smallest label of them.
-    joined = found.drop("tokens", "rk").join(where, "key", "left")
+    # A second key of the same content makes Spark deal both sides anew, so that many copies of one set are split.
+    both_keys = F.xxhash64("key").alias("h")
+    joined = found.select("doc", "n", "key", both_keys).join(where.select("key", "label", both_keys), ["key", "h"], "left")
     linked_rows = joined.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
     alone = joined.filter(F.col("doc").isNull() | (F.col("n") == 0)).withColumn("label", F.col("doc"))
     both = linked_rows.unionByName(alone)

@@ -2,7 +2,7 @@
 
 1. Equal sets become one class, so copies cost one row each.
 2. Each class' shingles are dealt by hash into a few more parts than its partners may differ in, so two
-   linked classes have an equal part. Classes with an equal part come into one family; all links
+   linked classes have an equal part; where it may be empty, their least shingles stand in for it. Classes with an equal part come into one family; all links
    lie inside families.
 3. A family is cut into groups of bounded size. Of a group, the union of its tokens is stored, and each
    member as places in the union: one block of the token-group matrix.
@@ -35,6 +35,18 @@ COLUMNS = 4096  # of the 0/1 matrices at a time
 LOWER = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
+def spare_parts(differ: int, size: int) -> int:
+    """Parts beyond those that may differ, so that a set of ``size`` shingles seldom has as many empty ones.
+
+    Where sets are so unlike that no number is enough, two.
+    """
+    for spare in range(2, differ + 2):
+        empty = (differ + spare) * np.exp(-size / (differ + spare))
+        if empty + 4 * np.sqrt(empty) + 1 <= spare:
+            return spare
+    return 2
+
+
 class Bands:
     """Size bands for a similarity of at least ``percent``: partners lie in one band or in neighbours."""
 
@@ -42,6 +54,7 @@ class Bands:
         self.percent = percent
         self.low = [1]
         self.parts: list[int] = []
+        self.spare: list[int] = []
 
     def _grow(self, size: int) -> None:
         p = self.percent
@@ -50,38 +63,37 @@ class Bands:
             self.low.append(self.low[k] * 100 // p + 1)
             top = self.low[k + 1] - 1
             differ = (top + top * 100 // p) * (100 - p) // (100 + p)
-            # One part more than shingles that may differ, and one that may be empty in both sets.
-            self.parts.append(differ + 2 if differ else 1)
+            self.spare.append(spare_parts(differ, self.low[k]))
+            self.parts.append(differ + self.spare[k] if differ else 1)
 
-    def of(self, size: int) -> list[tuple[int, int]]:
-        """(band, parts) of the pairs that a set of this size may be in."""
+    def of(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, parts, spare parts) of the pairs that a set of this size may be in."""
         self._grow(size)
         k = int(np.searchsorted(self.low, size, "right")) - 1
-        return [(b, self.parts[b]) for b in (k - 1, k) if b >= 0]
+        return [(b, self.parts[b], self.spare[b]) for b in (k - 1, k) if b >= 0]
 
 
 def part_tokens(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     """Tokens of a sorted set: the hash of each non-empty part, for each band of pairs.
 
-    Sets that differ in d shingles share one of d + 2 parts, if no more than one part is empty; a set
-    with two or more empty parts has tokens for those too. Where no shingle may differ, equal
-    sets are one class already and there is no token.
+    Linked sets have at least ``spare`` equal parts. If one of them is not empty, they share its token.
+    Otherwise both sets have ``spare`` empty parts or more; such sets have a token for each of their
+    least shingles too, as many as make sure that linked sets share one. So every token needs
+    common content. Where no shingle may differ, equal sets are one class already and there is no token.
     """
     if not len(hashes):
         return hashes
     mixed, out = mix(hashes, 31), []
-    for band, parts in bands.of(len(hashes)):
+    for band, parts, spare in bands.of(len(hashes)):
         if parts == 1:
             continue
         part = ((hashes >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         content, number = np.add.reduceat(mixed, at), part[at]
-        if len(at) < parts - 1:
-            number_all = np.arange(parts, dtype=np.uint64)
-            every = np.zeros(parts, np.uint64)
-            every[number.astype(np.int64)] = content
-            content, number = every, number_all
         out.append(mix(content + mix(number + np.uint64(band << 32), 32), 33))
+        if parts - len(at) >= spare:
+            least = hashes[: len(hashes) * (100 - bands.percent) // 100 + 1]
+            out.append(mix(mix(least, 34) + np.uint64(band), 35))
     return np.concatenate(out) if out else hashes[:0]
 
 

@@ -97,3 +97,25 @@ def test_five_words_four_fifths(spark):
     rows = list(enumerate(near_copies(rng, 40, 80, 4)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert run(docs, 5, 80) == brute(rows, 5, 80)
+
+
+def test_tokens_need_common_content():
+    """Unlike sets of similar size share no token, though many have empty parts in common."""
+    rng, bands = np.random.default_rng(4), jaccard.Bands(80)
+    seen = set()
+    for size in rng.integers(150, 1200, 300):
+        tokens = set(jaccard.part_tokens(np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64) * 2), bands).tolist())
+        assert not seen & tokens
+        seen |= tokens
+
+
+def test_linked_sets_with_empty_parts_share_a_token():
+    """Sets whose equal parts are all empty: every part with content differs."""
+    bands = jaccard.Bands(80)
+    parts = bands.of(20)[-1][1]
+    width = (1 << 64) // parts
+    a = np.array(sorted(1000 + i for i in range(18)) + [width * 2 + 5], np.uint64)
+    b = np.array(sorted(1000 + i for i in range(17)) + [width * 2 + 6], np.uint64)
+    inside = len(np.intersect1d(a, b))
+    assert 100 * inside >= 80 * (len(a) + len(b) - inside)
+    assert np.intersect1d(jaccard.part_tokens(a, bands), jaccard.part_tokens(b, bands)).size

@@ -77,3 +77,14 @@ def test_whole_run(spark, sf, tmp_path):
     shutil.copytree(sf, path)
     rows = corpus_pipeline.run(spark, str(path)).collect()
     assert rows and all(r.length <= 2048 for r in rows)
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    words = [f"w{i}" for i in range(60)]
+    rows += [(10_000, " ".join(words)), (10_001, " ".join([*words, *(f"x{i}" for i in range(12))]))]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    least = {i: label for i, _, label in components(rows, 5, 80)}
+    assert {r.doc_id for r in found} == {i for i in least if least[i] == i}
+    assert 10_001 not in {r.doc_id for r in found}

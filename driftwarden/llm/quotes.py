@@ -1,8 +1,8 @@
 """Conversations without quotations, in reply order, in DataFrame functions alone.
 
 A line's quote level is the number of ``>`` it begins with. Quoted passages (neighbouring lines of one level) are
-normalised and hashed line by line; a hash is joined to the nearest earlier message of the
-conversation that wrote this line itself. A message replies to the message that its least deep
+joined, normalised and hashed by runs of words, short lines and short sentences; a passage is linked to the earlier
+message of the conversation that wrote most of its words itself, of several to the latest. A message replies to the message that its least deep
 quotes lead to, else to the one before it. Own text is kept without quotes.
 """
 
@@ -16,6 +16,8 @@ from driftwarden.plans.ranks import prefix_sums
 
 # A quote mark may stand behind blanks and be followed by one.
 MARKS = r"^(?:[ \t]*>)+"
+# Words of a run; shorter lines and sentences are compared as a whole.
+WINDOW = 8
 INTRO = r"^[^\n]{0,200}\b(?:wrote|schrieb|a écrit|escribió):[ \t]*$"
 
 
@@ -35,24 +37,72 @@ def parsed_lines(messages: DataFrame) -> DataFrame:
     return lines.withColumn("norm", normalised(F.col("body"))).drop("line")
 
 
-def quote_links(lines: DataFrame) -> DataFrame:
-    """(row, source, level, passage): per quoted passage the nearest earlier turn that wrote its lines.
+def passages(lines: DataFrame) -> DataFrame:
+    """(conv, turn, row, level, passage, no, norm): lines with words; passage 0 is the message's own text.
 
-    A passage is a run of lines of one level; its source is the latest of its lines' sources.
-    Lines are matched inside a conversation by 64-bit hash, in one pass over (conversation, hash) sorted by
-    turn: a line repeated in every message costs a sorted run, not pairs.
+    A quoted passage is a run of quoted lines of one level.
     """
-    told = lines.filter(F.col("norm") != "").withColumn("h", F.xxhash64("norm"))
-    earlier = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    own = F.when(F.col("level") == 0, F.col("turn"))
-    quoted = told.withColumn("source", F.max(own).over(earlier)).filter("level > 0")
+    told = lines.filter(F.col("norm") != "")
     # The rows of one message are one document; levels change from passage to passage.
     inside = Window.partitionBy("row").orderBy("no")
     new = F.when(F.lag("level").over(inside) == F.col("level"), 0).otherwise(1)
-    numbered = quoted.withColumn("new", new).withColumn("passage", F.sum("new").over(inside))
-    return numbered.groupBy("row", "passage").agg(
-        F.max("source").alias("source"), F.min("level").alias("level"), F.count(F.lit(1)).alias("n_lines")
-    )
+    quoted = told.filter("level > 0").withColumn("new", new).withColumn("passage", F.sum("new").over(inside)).drop("new")
+    own = told.filter("level = 0").withColumn("passage", F.lit(0).cast("long"))
+    return own.unionByName(quoted)
+
+
+def pieces(lines: DataFrame) -> DataFrame:
+    """(conv, turn, row, passage, start, size, h): what passages are compared by, of the lines of ``passages``.
+
+    The lines of a passage are joined, so that other line breaks give the same words. Pieces are its
+    runs of WINDOW words, and its lines and sentences that are shorter. ``h`` names the words and the conversation.
+    """
+    group = ["conv", "turn", "row", "passage"]
+    so_far = Window.partitionBy(*group).orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def short(rows: DataFrame) -> DataFrame:
+        sized = rows.withColumn("size", F.size(F.split("norm", " ")))
+        placed = sized.withColumn("start", F.sum("size").over(so_far) - F.col("size"))
+        return placed.filter(F.col("size") < WINDOW).select(*group, "start", "size", "norm")
+
+    whole = lines.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("no", "norm"))).alias("lines"))
+    whole = whole.select(*group, F.array_join("lines.norm", " ").alias("text"))
+    sentences = whole.select(*group, F.posexplode(F.split("text", r"(?<=[.!?]) ")).alias("no", "norm"))
+    words = whole.withColumn("words", F.split("text", " ")).filter(F.size("words") >= WINDOW)
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.array_join(F.slice("words", i, WINDOW), " "))
+    long = words.select(*group, F.posexplode(runs).alias("start", "norm")).withColumn("size", F.lit(WINDOW))
+    every = short(lines).unionByName(short(sentences)).unionByName(long.select(*group, F.col("start").cast("long"), "size", "norm"))
+    return every.withColumn("h", F.xxhash64("conv", F.col("conv").isNull(), "norm")).drop("norm")
+
+
+def quote_links(lines: DataFrame) -> DataFrame:
+    """(row, passage, level, source): per quoted passage the earlier turn that wrote most of its words, of
+    several the latest; null if none wrote any of its pieces.
+
+    Each piece's latest writer is found in one pass over the pieces sorted by turn. No turn that wrote all
+    of a passage's known pieces is later than the earliest of these writers; if that one wrote them
+    all, as with a plain quotation, it is the source. So a line repeated in every message costs a sorted
+    run, not pairs. Only passages put together from several messages are compared with all writers.
+    """
+    told = stored(passages(lines), "told")
+    asked = told.filter("passage > 0").groupBy("row", "passage").agg(F.min("level").alias("level"))
+    every = stored(pieces(told), "pieces")
+    earlier = Window.partitionBy("h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("passage") == 0, F.col("turn"))
+    known = every.withColumn("latest", F.max(own).over(earlier)).filter("passage > 0 AND latest IS NOT NULL")
+    known = stored(known.select("row", "passage", "turn", "start", "size", "h", "latest"), "known")
+    wrote = every.filter("passage = 0").select("h", F.col("turn").alias("source")).distinct()
+    first = known.groupBy("row", "passage").agg(F.min("latest").alias("source"), F.count(F.lit(1)).alias("n"))
+    there = known.join(first, ["row", "passage"]).join(wrote, ["h", "source"], "left_semi")
+    plain = there.groupBy("row", "passage", "source", "n").agg(F.count(F.lit(1)).alias("found")).filter("found = n")
+    plain = stored(plain.select("row", "passage", "source"), "plain")
+    mixed = known.join(plain, ["row", "passage"], "left_anti").join(wrote, "h").filter(F.col("source") < F.col("turn"))
+    places = F.explode(F.sequence("start", F.col("start") + F.col("size") - 1))
+    covered = mixed.select("row", "passage", "source", places.alias("place")).distinct()
+    covered = covered.groupBy("row", "passage", "source").agg(F.count(F.lit(1)).alias("words"))
+    most = covered.groupBy("row", "passage").agg(F.max(F.struct("words", "source")).alias("best"))
+    found = plain.unionByName(most.select("row", "passage", "best.source"))
+    return asked.join(found, ["row", "passage"], "left")
 
 
 def own_text(text: Column) -> Column:
@@ -113,7 +163,11 @@ def reply_ordered(
         F.col(text).alias("text"),
     ).withColumn("row", F.unhex(F.md5(F.to_json(F.struct("conv", "turn", "text")).cast("binary"))))
     named = rows.filter(F.col("turn").isNotNull())
-    found = quote_links(parsed_lines(named.select("conv", "turn", "row", "text").dropDuplicates(["row"])))
+    texts = named.select("conv", "turn", "row", "text").dropDuplicates(["row"])
+    # Messages of conversations without a quotation are no one's source.
+    quoting = texts.filter(F.col("text").rlike(f"(?m){MARKS}")).select(F.col("conv").alias("c")).distinct()
+    texts = texts.join(quoting, F.col("conv").eqNullSafe(F.col("c")), "left_semi")
+    found = quote_links(parsed_lines(texts))
     # A message answers what its least deep linked quote leads to; of several, the latest.
     linked = F.when(F.col("source").isNotNull(), F.struct(F.col("level"), (-F.col("source")).alias("source")))
     best = found.groupBy("row").agg(

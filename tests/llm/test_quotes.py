@@ -54,3 +54,22 @@ def test_long_chains_end(spark):
     rows = [("c", t, f"message {t}") for t in range(500)]
     found, _ = run(spark.createDataFrame(rows, "conv_id string, turn long, text string"))
     assert found["c", 499].depth == 499 and found["c", 499].root == 0
+
+
+def test_passage_goes_to_the_message_that_wrote_most_of_it(spark):
+    rows = [
+        # A frequent line alone doesn't decide.
+        ("a", 0, "Hello all.\nShall we meet Monday?\nBest"), ("a", 1, "No.\nBest"),
+        ("a", 2, "> Hello all.\n> Shall we meet Monday?\n> Best\nYes."),
+        # Other line breaks, a part of a message, and the latest of equal ones.
+        ("b", 0, "one two three four five six seven eight nine ten eleven twelve"), ("b", 1, "Something else."),
+        ("b", 2, "> one two three four five\n> six seven eight nine ten eleven\n> twelve\nRight."),
+        ("b", 3, "> Something\n> else.\nSo?"), ("b", 4, "Something else."), ("b", 5, "> Something else.\nWhat?"),
+        # Put together from several messages.
+        ("c", 0, "First of all.\nThis is long enough to be the most of it by far.\nBye"), ("c", 1, "Yes.\nBye"), ("c", 2, "First of all."),
+        ("c", 3, "> First of all.\n> Yes.\n> This is long enough to be the most of it by far.\n> Bye\nSo."),
+        (None, 0, "Hello all.\nBest"), (None, 1, "Best"), (None, 2, "> Hello all.\n> Best\nYes."),
+    ]
+    found, _ = run(spark.createDataFrame(rows, "conv_id string, turn long, text string"))
+    want = {("a", 2): 0, ("b", 2): 0, ("b", 3): 1, ("b", 5): 4, ("c", 3): 0, (None, 2): 0}
+    assert {k: found[k].reply_to for k in want} == want and all(found[k].linked for k in want)

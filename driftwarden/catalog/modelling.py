@@ -162,4 +162,4 @@ def e4_two(spark, sf_dir):
 @query("r8_permutation_study")
 def r8(spark, sf_dir):
     flows = views.flow_view(spark, sf_dir)
-    return study.permutation_study(flows, SCORED, ["row_key"], CLASSES, permutations=2, epochs=10)
+    return study.permutation_study(flows, SCORED, ["row_key"], CLASSES)

@@ -1,12 +1,14 @@
 """Draws, p-values and kNN against brute force on small fixtures."""
 
+import inspect
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwarden.operators import neighbours, sample, significance
+from driftwarden import catalog
+from driftwarden.operators import neighbours, sample, significance, study
 from driftwarden.operators.distance import MEASURES
 from tests.test_distance import walk
 
@@ -141,3 +143,25 @@ def test_sampling_is_exact_and_repeatable(spark):
     assert sample.stratified_split(df, "g", 0.33, ["k"]).filter("split = 'test' and g = 1").count() == 83
     assert sample.head_sample(df, ["k"]).count() == 50
     assert sample.sample_by_key(df, "g", {0: 0.0}, ["k"]).count() == 250
+
+
+@pytest.mark.parametrize(
+    "name,module,function,wanted",
+    [
+        ("k10_pvalues_from_counts", significance, "distance_pvalues", {"replicates": 1000}),
+        ("k11_position_distance_map_from_counts", significance, "position_distance_map", {"replicates": 1000}),
+        ("r8_permutation_study", study, "permutation_study", {"permutations": 100, "epochs": 50}),
+    ],
+)
+def test_queries_run_the_whole_number_of_replicates(spark, sf, monkeypatch, name, module, function, wanted):
+    signature, seen = inspect.signature(getattr(module, function)), {}
+
+    def called(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        for key, value in bound.arguments.items():
+            seen.update(value if signature.parameters[key].kind is inspect.Parameter.VAR_KEYWORD else {key: value})
+
+    monkeypatch.setattr(module, function, called)
+    catalog.QUERIES[name](spark, sf)
+    assert {k: seen[k] for k in wanted} == wanted

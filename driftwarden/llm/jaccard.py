@@ -339,6 +339,17 @@ def class_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int)
     return components(found.unionByName(more))
 
 
+def one_label(named: DataFrame, where: DataFrame) -> DataFrame:
+    """``where`` (key, label), with one label for sets that hang together over a document of several texts."""
+    several = named.groupBy("doc").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
+    several = stored(several.select("doc"), "several")
+    if not several.head(1):
+        return where
+    edges = named.select("doc", "key").join(several, "doc").join(where, "key")
+    over = components(edges.select(F.col("doc").alias("a"), F.col("label").alias("b")))
+    return where.join(over.toDF("label", "least"), "label", "left").select("key", F.coalesce("least", "label").alias("label"))
+
+
 def link_documents(
     docs: DataFrame, shingle: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -360,7 +371,7 @@ def link_documents(
     labels = class_links(classes, rows.filter(F.col("doc").isNotNull()), shingle, percent)
     node = named.groupBy("key").agg(F.min("doc").alias("node"))
     where = node.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    # A key with several texts takes the smallest label of them.
+    where = one_label(named, stored(where, "where"))
     # A second key of the same content makes Spark deal both sides anew, so that many copies of one set are split.
     both_keys = F.xxhash64("key").alias("h")
     joined = found.select("doc", "n", "key", both_keys).join(where.select("key", "label", both_keys), ["key", "h"], "left")

@@ -119,3 +119,12 @@ def test_linked_sets_with_empty_parts_share_a_token():
     inside = len(np.intersect1d(a, b))
     assert 100 * inside >= 80 * (len(a) + len(b) - inside)
     assert np.intersect1d(jaccard.part_tokens(a, bands), jaccard.part_tokens(b, bands)).size
+
+
+def test_a_repeated_id_links_all_its_texts(spark):
+    x, y, z = ("a b c d e f g", "h i j k l m n", "o p q r s t u")
+    rows = [(5, x), (9, x), (9, y), (20, y), (20, z), (30, z), (40, "alone with its words"), (30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = run(docs)
+    assert {i: label for i, n, label in found if n} == {5: 5, 9: 5, 20: 5, 30: 5, 40: 40}
+    assert [r for r in found if r[1]] == [r for r in brute(rows, 3, 90) if r[1]]

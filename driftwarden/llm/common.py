@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwarden.plans.scale import scratch_path
@@ -92,3 +92,17 @@ def split_join(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
     left = rows.withColumns({f"__{c}": F.col(c).bitwiseXOR(F.lit(1)) for c in on})
     right = chosen.withColumns({f"__{c}": F.col(c).bitwiseXOR(F.lit(1)) for c in on}).drop(*on)
     return left.join(right, [f"__{c}" for c in on]).drop(*[f"__{c}" for c in on])
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, spread: str, into: str = "rank") -> DataFrame:
+    """The first ``n`` rows of each key in ``order``, numbered from 1.
+
+    First within shares of a key dealt by the hash of ``spread``, then among what these leave, so that
+    the rows of one key never meet in a single task before they are few.
+    """
+    share, place = fresh(df.columns, "share", "place")
+    dealt = df.withColumn(share, F.pmod(F.xxhash64(spread), F.lit(64)))
+    few = dealt.withColumn(place, F.row_number().over(Window.partitionBy(*keys, share).orderBy(*order)))
+    few = few.filter(F.col(place) <= n).drop(share, place)
+    ranked = few.withColumn(into, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return ranked.filter(F.col(into) <= n)

@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from driftwarden.llm import counting, decontaminate, jaccard, packing, pii, quality, quotes, shards, substrings, toxicity
+from driftwarden.llm import (
+    counting,
+    decontaminate,
+    jaccard,
+    packing,
+    phrases,
+    pii,
+    quality,
+    quotes,
+    shards,
+    substrings,
+    toxicity,
+)
 from driftwarden.llm.common import stored, table
 from driftwarden.plans.scale import scratch_path
 
@@ -216,3 +228,29 @@ def op10(spark, sf_dir):
         "n_encoded",
         F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
     )
+
+
+OP11_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+     'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents),
+p AS (SELECT lang, unnest(ps) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, ws, k, unnest(range(1, greatest(len(ws) - k + 2, 1))) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, cut, 1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+      JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:], ' ')),
+least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, a, string_split(phrase, ' ') AS ws FROM f WHERE k = 3),
+inside AS (SELECT lang, array_to_string(ws[j:j + 1], ' ') AS phrase, max(a) AS longer FROM o, (SELECT unnest([1, 2]) AS j) GROUP BY 1, 2),
+kept AS (SELECT least.* FROM least LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", OP11_SQL)
+def op11(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))

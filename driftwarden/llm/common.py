@@ -82,6 +82,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def texts_bytes(rows: pa.RecordBatch | pa.Table, name: str = "text") -> list[bytes]:
+    """The texts in UTF-8, null as empty."""
+    return [t or b"" for t in rows.column(name).cast(pa.binary()).to_pylist()]
+
+
 def split_join(rows: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame:
     """Inner join of ``rows`` with one row per key, where ``chosen`` was grouped by the same (long) keys.
 

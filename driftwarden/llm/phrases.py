@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from driftwarden.llm.common import small_batches, stored, top_rows
 from driftwarden.llm.mph import mix
-from driftwarden.llm.words import SLICE_BYTES, Words
+from driftwarden.llm.words import SLICE_BYTES, Words, cut_slices
 
 # Bytes of text per part of the hash space, and the most parts there are.
 PART_BYTES = 16 << 20
@@ -42,31 +42,6 @@ LOWER = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 UNKNOWN = "und"
 
 
-def pieces_of(texts: list[bytes], most: int) -> Iterator[tuple[list[bytes], list[int]]]:
-    """(texts, number of each) of about ``most`` bytes; a longer text is cut where a piece ends."""
-    held, numbers, size = [], [], 0
-    for number, text in enumerate(texts):
-        at = 0
-        while at < len(text) or (not text and at == 0):
-            part = text[at : at + most]
-            if len(text) - at > most:
-                ends = np.flatnonzero(PIECE_BYTES[np.frombuffer(part, np.uint8)])
-                if len(ends):
-                    part = part[: ends[-1] + 1]
-                else:
-                    later = PIECE_BYTES[np.frombuffer(text, np.uint8, offset=at)]
-                    part = text[at : at + int(later.argmax()) + 1] if later.any() else text[at:]
-            at += max(len(part), 1)
-            if held and size + len(part) > most:
-                yield held, numbers
-                held, numbers, size = [], [], 0
-            held.append(part)
-            numbers.append(number)
-            size += len(part)
-    if held:
-        yield held, numbers
-
-
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -129,7 +104,7 @@ def batch_phrases(batch: pa.RecordBatch) -> Iterator[tuple[Phrases, list[str]]]:
     names = batch.column("lang").fill_null(UNKNOWN).to_pylist()
     hashed = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(names)}
     texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-    for some, numbers in pieces_of(texts, SLICE_BYTES):
+    for some, numbers in cut_slices(texts, SLICE_BYTES, PIECE_BYTES):
         here = [names[i] for i in numbers]
         yield Phrases(some, np.array([hashed[x] for x in here], np.uint64)), here
 

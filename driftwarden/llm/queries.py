@@ -9,6 +9,7 @@ from driftwarden.llm import (
     counting,
     decontaminate,
     jaccard,
+    lexical,
     packing,
     phrases,
     pii,
@@ -254,3 +255,26 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t
 @query("op11_phrase_collocations", OP11_SQL)
 def op11(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+     '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents WHERE text IS NOT NULL),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+     '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT item_id, term, count(*) AS c FROM q GROUP BY ALL),
+e AS (SELECT doc_id, ws, len(ws)::BIGINT AS n FROM d WHERE len(ws) > 0),
+x AS (SELECT count(*)::BIGINT AS all_docs, sum(n)::BIGINT AS all_terms FROM e),
+t AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(ws) AS term FROM e) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, x GROUP BY term, all_docs),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * all_docs) // all_terms AS m FROM e, x),
+s AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN t USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+@query("op12_automaton_search", OP12_SQL)
+def op12(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -93,3 +95,28 @@ def slices(batch: pa.RecordBatch, text: str = "text"):
             to += 1
         yield texts[at:to], at
         at = to
+
+
+def cut_slices(texts: list[bytes], most: int, ends: np.ndarray) -> Iterator[tuple[list[bytes], list[int]]]:
+    """(texts, number of each) of about ``most`` bytes; a longer text is cut behind bytes marked in ``ends``."""
+    held, numbers, size = [], [], 0
+    for number, text in enumerate(texts):
+        at = 0
+        while at < len(text) or (not text and at == 0):
+            part = text[at : at + most]
+            if len(text) - at > most:
+                here = np.flatnonzero(ends[np.frombuffer(part, np.uint8)])
+                if len(here):
+                    part = part[: here[-1] + 1]
+                else:
+                    later = ends[np.frombuffer(text, np.uint8, offset=at)]
+                    part = text[at : at + int(later.argmax()) + 1] if later.any() else text[at:]
+            at += max(len(part), 1)
+            if held and size + len(part) > most:
+                yield held, numbers
+                held, numbers, size = [], [], 0
+            held.append(part)
+            numbers.append(number)
+            size += len(part)
+    if held:
+        yield held, numbers

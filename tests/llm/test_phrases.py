@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from driftwarden.llm import phrases
+from driftwarden.llm.words import cut_slices
 
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
 
@@ -113,7 +114,7 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 def test_long_texts_are_cut_where_a_piece_ends():
     texts = [b"", b"aaa. bbb ccc, d", b"x" * 25 + b"." + b"y" * 12, b"\n\n"]
-    got = list(phrases.pieces_of(texts, 10))
+    got = list(cut_slices(texts, 10, phrases.PIECE_BYTES))
     whole = {}
     for some, numbers in got:
         for part, number in zip(some, numbers):

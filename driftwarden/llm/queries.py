@@ -9,6 +9,7 @@ from driftwarden.llm import (
     counting,
     decontaminate,
     jaccard,
+    language,
     lexical,
     packing,
     phrases,
@@ -278,3 +279,10 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
 @query("op12_automaton_search", OP12_SQL)
 def op12(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_byte_language")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.with_language(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import sources, views
 from driftwarden.catalog.base import FLOW, query, with_ctes
-from driftwarden.operators import evaluate, features, models, neighbours, report, study
+from driftwarden.operators import batched, evaluate, features, models, neighbours, report, study
 from driftwarden.plans.scale import scratch_path
 from driftwarden.views import CLASSES, FEATURES
 
@@ -163,3 +163,16 @@ def e4_two(spark, sf_dir):
 def r8(spark, sf_dir):
     flows = views.flow_view(spark, sf_dir)
     return study.permutation_study(flows, SCORED, ["row_key"], CLASSES)
+
+
+@query(
+    "r8_held_out_rows",
+    with_ctes(FLOW, select="""
+SELECT 'run' || CAST(run AS VARCHAR) AS run_id, label AS class, rows, rows // 3 AS held
+FROM (SELECT label, count(*) AS rows FROM flow GROUP BY label), (SELECT unnest(range(100)) AS run)"""),
+)
+def r8_held(spark, sf_dir):
+    """Each run of the study holds out exactly a third of every class, rounded down."""
+    rows = batched.prepare(views.flow_view(spark, sf_dir), SCORED, ["row_key"], CLASSES, "label", seed=42)
+    found = batched.held_counts(rows, batched.held_limits(rows, 100, 3))
+    return found.select(F.concat(F.lit("run"), F.col("model").cast("string")).alias("run_id"), "class", "rows", "held")

@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 
 from driftwarden.llm.common import small_batches, stored, top_rows
 from driftwarden.llm.mph import mix
-from driftwarden.llm.words import SLICE_BYTES, Words, cut_slices
+from driftwarden.llm.sieve import Sieve, filled, part_of, shape
+from driftwarden.llm.words import Words, cut_slices
 
 # Bytes of text per part of the hash space, and the most parts there are.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 MOST_PARTS = 1 << 16
 # Phrases that a task holds before it sends a summary, and counters that it holds in the exact count.
-HELD = 4_000_000
-HELD_PHRASES = 500_000
+HELD = 1_000_000
+HELD_PHRASES = 100_000
+# Bytes of text that are cut into words together.
+TOGETHER_BYTES = 512 << 10
 # Bits of a level's filter per survivor, and in all at most (32 MB).
 FILTER_BITS = 16
 FILTER_MOST = 1 << 28
@@ -42,28 +45,6 @@ LOWER = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 UNKNOWN = "und"
 
 
-def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-class Filter:
-    """Which hashes may be survivors: two bits of a slice of its own for each part of the hash space."""
-
-    def __init__(self, parts: int, slice_bits: int, bits: np.ndarray):
-        self.parts, self.slice_bits, self.bits = parts, slice_bits, bits
-
-    def places(self, hashes: np.ndarray, which: int) -> np.ndarray:
-        inside = mix(hashes, 61 + which) % np.uint64(self.slice_bits)
-        return part_of(hashes, self.parts) * self.slice_bits + inside.astype(np.int64)
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for which in (0, 1):
-            at = self.places(hashes, which)
-            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return out
-
-
 class Phrases:
     """Phrases of a few texts: windows of words inside one piece."""
 
@@ -83,7 +64,7 @@ class Phrases:
             fits[: n - k + 1] = self.piece[: n - k + 1] == self.piece[k - 1 :]
         return mix(self.words.windows(self.plain, k) ^ self.language, 20 + k), fits
 
-    def level(self, k: int, filters: list[Filter]) -> tuple[np.ndarray, np.ndarray]:
+    def level(self, k: int, filters: list[Sieve]) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the phrases of k words whose two parts of k - 1 words pass their filter."""
         found, fits = self.hashes(k)
         if k > 1 and len(found) >= k:
@@ -104,7 +85,7 @@ def batch_phrases(batch: pa.RecordBatch) -> Iterator[tuple[Phrases, list[str]]]:
     names = batch.column("lang").fill_null(UNKNOWN).to_pylist()
     hashed = {x: xxhash.xxh64_intdigest(x.encode()) for x in set(names)}
     texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-    for some, numbers in cut_slices(texts, SLICE_BYTES, PIECE_BYTES):
+    for some, numbers in cut_slices(texts, TOGETHER_BYTES, PIECE_BYTES):
         here = [names[i] for i in numbers]
         yield Phrases(some, np.array([hashed[x] for x in here], np.uint64)), here
 
@@ -212,27 +193,18 @@ def merged(found: DataFrame, threshold: int) -> DataFrame:
     return found.select("part", mass, "hashes", "counts").mapInArrow(run, "part int, n long, hashes binary")
 
 
-def survivor_filter(survivors: DataFrame, parts: int) -> Filter:
-    """The filter of a level, from stored (part, n, hashes). It has at most FILTER_MOST bits, whatever the input."""
+def survivor_sieve(survivors: DataFrame, parts: int) -> Sieve:
+    """The sieve of a level, from stored (part, n, hashes). It has at most FILTER_MOST bits, whatever the input."""
     total = survivors.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(FILTER_MOST, max(1 << 10, total * FILTER_BITS))
-    slice_bits = -(-bits // parts // 8) * 8
-    empty = Filter(parts, slice_bits, np.zeros(0, np.uint8))
+    empty = shape(total, parts, FILTER_BITS, FILTER_MOST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in zip(batch.column("part").to_pylist(), batch.column("hashes")):
-                hashes, set_ = np.frombuffer(raw.as_py(), "<u8"), np.zeros(slice_bits, bool)
-                for which in (0, 1):
-                    set_[empty.places(hashes, which) - part * slice_bits] = True
-                packed = np.packbits(set_, bitorder="little").tobytes()
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": [packed]})
+                bits = empty.slice_of(part, np.frombuffer(raw.as_py(), "<u8"))
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "bits": [bits]})
 
-    whole = np.zeros(parts * slice_bits // 8, np.uint8)
-    for row in survivors.mapInArrow(run, "part int, bits binary").toLocalIterator():
-        at = row.part * slice_bits // 8
-        whole[at : at + slice_bits // 8] = np.frombuffer(row.bits, np.uint8)
-    return Filter(parts, slice_bits, whole)
+    return filled(empty, survivors.mapInArrow(run, "part int, bits binary"))
 
 
 def exact_counts(rows: DataFrame, longest: int, filters: list) -> DataFrame:
@@ -349,7 +321,7 @@ def collocations(
     filters = []
     for k in range(1, longest + 1):
         left = stored(merged(summaries(rows, k, parts, filters), threshold), f"survivors-{k}")
-        filters.append(spark.sparkContext.broadcast(survivor_filter(left, parts)))
+        filters.append(spark.sparkContext.broadcast(survivor_sieve(left, parts)))
     found = exact_counts(rows, longest, filters).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
     counts = stored(found.filter((F.col("k") == 0) | (F.col("n") >= threshold)), "phrase-counts")
     ranked = scored(counts).join(absorbed(counts, longest, percent), ["lang", "phrase"], "left_anti")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from driftwarden.llm.common import list_array, map_batches, row_key, small_batches, split_join, stored
 from driftwarden.llm.links import components
 from driftwarden.llm.mph import mix
+from driftwarden.llm.sieve import sieve_of
 from driftwarden.llm.words import ODD_BASES, Words, run_hashes, slices
 
 GROUP_DOCS = 256
@@ -120,7 +121,7 @@ def set_key(hashes: np.ndarray) -> bytes:
 
 
 def profiles(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc, rk, n, key, tokens) per row of (doc, rk, text)."""
+    """(doc, rk, n, key, node, tokens) per row of (doc, rk, text); ``node`` is the first half of the key."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bands, sizes, keys, tokens = Bands(percent), [], [], []
@@ -136,12 +137,37 @@ def profiles(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
                 batch.column("rk"),
                 pa.array(sizes, pa.int64()),
                 pa.array(keys, pa.binary()),
+                pa.array(np.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], np.int64)),
                 list_array(np.concatenate(tokens).view(np.int64), counts, pa.int64()),
             ],
-            names=["doc", "rk", "n", "key", "tokens"],
+            names=["doc", "rk", "n", "key", "node", "tokens"],
         )
 
-    return map_batches(rows, run, "doc long, rk long, n long, key binary, tokens array<long>")
+    return map_batches(rows, run, "doc long, rk long, n long, key binary, node long, tokens array<long>")
+
+
+def shared_tokens(named: DataFrame) -> DataFrame:
+    """(a, b): each set that has a token in common with others, and the least of these, over all such tokens.
+
+    Most tokens are a set's own. They are shuffled once, to find those that are not; a sieve of these keeps the
+    others from a second shuffle.
+    """
+    spans = named.select("node", F.explode("tokens").alias("token")).groupBy("token")
+    spans = spans.agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = stored(spans.filter("low < high").select("token", "low"), "shared")
+    known = named.sparkSession.sparkContext.broadcast(sieve_of(shared, "token"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("tokens")
+        tokens = lists.flatten().to_numpy(zero_copy_only=False)
+        node = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
+        some = known.value.has(tokens.view(np.uint64))
+        # Copies of a set have the same tokens.
+        pairs = np.unique(np.stack([node[some], tokens[some]]), axis=1) if some.any() else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "token"])
+
+    dealt = map_batches(named.select("node", "tokens"), run, "a long, token long")
+    return split_join(dealt, shared, ["token"]).filter("low < a").select("a", F.col("low").alias("b"))
 
 
 class Group:
@@ -307,14 +333,11 @@ def compare_pairs(groups: DataFrame, others: DataFrame, percent: int) -> DataFra
     return wanted.mapInArrow(lambda bs: (run(b) for b in bs if b.num_rows), "a long, b long")
 
 
-def class_links(classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, label) for the classes (doc, rk, n, tokens) that are linked with others."""
-    dealt = classes.select("doc", F.explode("tokens").alias("token"))
-    spans = dealt.groupBy("token").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    shared = spans.filter("low < high").select("token", "low")
-    near = split_join(dealt, shared, ["token"]).filter("low < doc").select(F.col("doc").alias("a"), F.col("low").alias("b"))
-    families = components(near).withColumnRenamed("node", "doc").withColumnRenamed("label", "family")
-    members = classes.select("doc", "rk", "n").join(families, "doc")
+def class_links(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, label) for the classes (doc, rk, n, node) that are linked with others; ``named`` has all rows' tokens."""
+    families = components(shared_tokens(named)).toDF("node", "family")
+    # Two sets may share a node's name once in 2^64; they are in one family then, and compared.
+    members = classes.join(families, "node").select("doc", "rk", "n", "family")
     texts = docs.join(members, ["doc", "rk"]).dropDuplicates(["doc", "rk"])
     groups = stored(family_groups(texts, shingle), "groups")
     found = compare_inside(groups, percent)
@@ -364,11 +387,9 @@ def link_documents(
     rows = docs.select(F.col(key).cast("long").alias("doc"), row_key(text).alias("rk"), F.col(text).alias("text"))
     found = stored(profiles(rows, shingle, percent), "profiles")
     named = found.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("key").agg(
-        F.min(F.struct("doc", "rk")).alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens")
-    )
-    classes = classes.select("key", "least.doc", "least.rk", "n", "tokens")
-    labels = class_links(classes, rows.filter(F.col("doc").isNotNull()), shingle, percent)
+    classes = named.groupBy("key").agg(F.min(F.struct("doc", "rk")).alias("least"), F.first("n").alias("n"), F.first("node").alias("node"))
+    classes = stored(classes.select("least.doc", "least.rk", "n", "node"), "classes")
+    labels = class_links(named, classes, rows.filter(F.col("doc").isNotNull()), shingle, percent)
     node = named.groupBy("key").agg(F.min("doc").alias("node"))
     where = node.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     where = one_label(named, stored(where, "where"))

@@ -25,7 +25,7 @@ def test_each_stage(spark, sf):
             scorer = toxicity.Scorer(toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), labels))
             kept = [r for r, s in zip(before, scorer.score([r.text for r in before])) if s < 0.5]
         elif name == "near_duplicates":
-            least = {i: label for i, _, label in components([(r.doc_id, r.text) for r in before], 3, 90)}
+            least = {i: label for i, _, label in components([(r.doc_id, r.text) for r in before], 5, 80)}
             kept = [r for r in before if least[r.doc_id] == r.doc_id]
         elif name == "decontamination":
             bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

@@ -31,14 +31,17 @@ SEPARATOR = "\n\x01\n"
 
 
 class Encoder:
-    """Ids of texts by ``tokenizers`` without special tokens; their strings are ordinary text."""
+    """Ids of texts by ``tokenizers`` with ``add_special_tokens=False``.
+
+    As there, a special token's string in a text gives that token's id. No cut falls inside such a string: they
+    hold no white space, full stop or comma.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kept = kept
         one = self._plain("a")
         both = self._plain(f"a{SEPARATOR}a")

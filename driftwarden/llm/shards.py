@@ -26,6 +26,9 @@ from driftwarden.plans.scale import lookup_join
 MAGIC = b"DWIDS001"
 HEADER = struct.Struct("<8sII")  # magic, bytes per id, documents
 KEYS_PER_BUCKET = 100_000
+# Documents and ids that a reader takes from a shard at a time.
+READ_DOCS = 1000
+READ_IDS = 2 << 20
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -45,14 +48,18 @@ class ShardWriter:
         self.starts = [np.zeros(1, np.int64)]
         self.tokens = 0
 
-    def add(self, ids: list[np.ndarray]) -> np.ndarray:
-        """Append documents; where each starts."""
-        ends = self.tokens + np.cumsum([len(x) for x in ids])
-        self.out.write(np.concatenate(ids).astype(self.kind).tobytes())
-        starts = np.concatenate([[self.tokens], ends[:-1]])
-        self.starts.append(ends)
-        self.tokens = int(ends[-1])
-        return starts
+    def add(self, ids: list[np.ndarray], end_id: int) -> np.ndarray:
+        """Append documents, each with ``end_id`` behind it; the sizes with that id."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
+        ends = np.cumsum(sizes)
+        flat = np.full(int(ends[-1]), end_id, self.kind)
+        inside = np.ones(len(flat), bool)
+        inside[ends - 1] = False
+        flat[inside] = np.concatenate(ids)
+        self.out.write(flat.tobytes())
+        self.starts.append(self.tokens + ends)
+        self.tokens += int(ends[-1])
+        return sizes
 
     def close(self) -> int:
         table = np.concatenate(self.starts).astype("<i8")
@@ -83,7 +90,10 @@ class ShardReader:
 
 
 def key_hash(key: str, run: int = 0):
-    """64-bit hash of a document key; ``run`` counts the shards that hold rows of the key."""
+    """64-bit hash of a document key; ``run`` counts the shards that hold rows of the key.
+
+    Of whole numbers the hash is a permutation, so two such keys never share one; of other kinds they may.
+    """
     return F.xxhash64(F.col(key), F.col(key).isNull(), F.lit(run) if isinstance(run, int) else F.col(run))
 
 
@@ -106,21 +116,19 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, key: s
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer, shard, ordinal = encoder(vocabulary), None, None, 0
         item = 2 if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        tail = np.array([end_id], np.uint32)
         for batch in batches:
             if not batch.num_rows:
                 continue
             if writer is None:
                 writer, shard = ShardWriter(f"{path}/shards", item), batch.column("shard")[0].as_py()
-            ids = [np.concatenate([x, tail]) for x in encode.encode(batch.column("text"))]
-            writer.add(ids)
+            sizes = writer.add(encode.encode(batch.column("text")), end_id)
             n = batch.num_rows
             yield pa.RecordBatch.from_pydict(
                 {
                     "h": batch.column("h"),
                     "shard": pa.array([shard] * n, pa.int32()),
-                    "ordinal": pa.array(range(ordinal, ordinal + n), pa.int64()),
-                    "tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "ordinal": pa.array(np.arange(ordinal, ordinal + n)),
+                    "tokens": pa.array(sizes),
                     "file": pa.array([None] * n, pa.string()),
                 }
             )
@@ -218,6 +226,32 @@ def _probe(keys: DataFrame, path: str, buckets: DataFrame, count: int) -> DataFr
     )
 
 
+def neighbours(files: list[str], ordinal: np.ndarray, copies: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows (from, to) whose documents lie one behind the other in one file."""
+    at = 0
+    for i in range(1, len(files) + 1):
+        if i == len(files) or files[i] != files[i - 1] or ordinal[i] != ordinal[i - 1] + copies[i - 1]:
+            yield at, i
+            at = i
+
+
+def spans(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents of at most ``most`` ids, or of one document."""
+    at = 0
+    while at < len(bounds) - 1:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def payloads(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The ids of each document as little-endian unsigned 32-bit numbers."""
+    offsets = (bounds - bounds[0]) * 4
+    return pa.Array.from_buffers(
+        pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())]
+    )
+
+
 def read_store(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
     """The stored documents of the given keys, found through the index.
 
@@ -244,24 +278,26 @@ def read_store(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, shard = None, None
         for batch in batches:
-            rows = batch.to_pydict()
-            for at in range(batch.num_rows):
-                if rows["file"][at] != name:
-                    name = rows["file"][at]
+            files, base = batch.column("file").to_pylist(), batch.column("base").to_numpy()
+            ordinal, copies = batch.column("ordinal").to_numpy(), batch.column("copies").to_numpy()
+            for at, to in neighbours(files, ordinal, copies):
+                if files[at] != name:
+                    name = files[at]
                     shard = ShardReader(f"{path}/shards", name)
-                first, left = rows["ordinal"][at], rows["copies"][at]
-                while left:
-                    some = min(left, 1000)
-                    bounds = shard.bounds(first, some)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column("key").take(pa.array([at] * some)),
-                            pa.array(bounds[:-1] + rows["base"][at]),
-                            pa.array([shard.ids(a, b).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()),
-                        ],
-                        names=["key", "start", "ids"],
-                    )
-                    first, left = first + some, left - some
+                # Row of the batch for each stored document of the run.
+                row = np.repeat(np.arange(at, to), copies[at:to])
+                for first in range(0, len(row), READ_DOCS):
+                    some = row[first : first + READ_DOCS]
+                    bounds = shard.bounds(int(ordinal[at]) + first, len(some))
+                    for low, high in spans(bounds, READ_IDS):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column("key").take(pa.array(some[low:high])),
+                                pa.array(bounds[low:high] + base[at]),
+                                payloads(shard.ids(int(bounds[low]), int(bounds[high])), bounds[low : high + 1]),
+                            ],
+                            names=["key", "start", "ids"],
+                        )
 
     kind = named.schema["key"].dataType.simpleString()
     read_back = routed.select("key", "file", "base", "ordinal", "copies").mapInArrow(

@@ -3,11 +3,13 @@ import random
 import pyarrow as pa
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from driftwarden.llm.encode import Encoder
 from driftwarden.llm.words import SPACE_BYTES, Words
 
 ODD = [" ", "  ", "\n", "\t", ".", ",", "word", "The", "'s", "don't", " ", "é", "é", "123", "...", "!", "<|endoftext|>"]
+ODD += ["<|startoftext|>", "<|ENDOFTEXT|>", "<|end", "oftext|>", "</w>"]
 ODD += ["\x01", "\x00", "　", "漢字", "🙂", "\r\n", "ſ", "İ", "́", "Σς", "क़.", "a.̸"]
 
 
@@ -16,9 +18,10 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
     rng = random.Random(1)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += [" ".join(rng.choice(ODD[6:10]) for _ in range(50)) for _ in range(200)] + [None, "", " ", "\n", "a ", " a"]
-    encode = Encoder(public_tokenizers.path(name), kept=500)
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|><|endoftext|>.b", "x" * 3000 + "<|endoftext|>\n<|startoftext|>"]
+    encode, plain = Encoder(public_tokenizers.path(name), kept=500), Tokenizer.from_file(public_tokenizers.path(name))
     for text, ids in zip(texts, encode.encode(pa.array(texts, pa.string()))):
-        assert ids.tolist() == encode._plain(text or ""), repr(text)
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 def test_words_are_those_of_split():

@@ -70,3 +70,27 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert set(rows[0].asDict()) == set(odd_docs.columns)
     assert toxicity.with_scores(no_docs, model).count() == 0
     assert 0 < toxicity.Scorer(toxicity.train(no_docs, labels)).score([""])[0] < 1
+
+
+def test_pairs_with_balanced_margins():
+    """Neither word says anything alone: the label is that exactly one of the two is there."""
+    rng = random.Random(5)
+    texts, labels = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randint(0, 60)}" for _ in range(12)] + ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append(float(a != b))
+    rows, labels = [toxicity.text_terms(t) for t in texts], np.array(labels)
+    model = toxicity.Machine.fit(rows[:3000], labels[:3000])
+    assert set(toxicity.word_terms(b"insult") + toxicity.word_terms(b"group")) >= set(model.terms.tolist())
+    assert ((model.score_terms(rows[3000:]) >= 0.5) == (labels[3000:] > 0)).mean() > 0.95
+
+
+def test_chance_brings_no_pairs_in():
+    rng = random.Random(6)
+    rows = [toxicity.text_terms(" ".join(f"w{rng.randint(0, 400)}" for _ in range(60))) for _ in range(2000)]
+    labels = np.array([float(rng.random() < 0.1) for _ in rows])
+    assert len(toxicity.pair_terms(rows, labels)) <= 2
+    assert len(toxicity.pair_terms([toxicity.text_terms("")] * 5, np.array([0, 1, 0, 1, 0.0]))) == 0

@@ -3,8 +3,9 @@
 Word unigrams and bigrams are hashed into a fixed number of buckets. Counted over the whole corpus they
 give the raw multinomial, counted over the trusted documents the target one; a document's score is
 the mean over its n-grams of the log ratio of the two. The target is smoothed towards the raw
-counts, so buckets that trusted text says little about weigh nothing, and without trusted
-documents every score is 0. A document is kept if its score reaches a fixed threshold.
+counts, by an amount that follows the number of buckets it knows. Fresh trusted text scores lower than the text that
+was counted, the more so the less there is; so scores are taken from the level of trusted n-grams that are
+left out of their own count. Without trusted documents every score is 0. A document is kept if its score reaches a fixed threshold.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from driftwarden.plans.scale import BROADCAST_ROWS
 SEPARATORS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 16
-# N-grams per bucket that the target is thought to have seen beforehand, spread like the corpus.
-PRIOR = 10
-# Nats per n-gram below the corpus at which a document is refused.
+# N-grams that the target is thought to have seen beforehand, spread like the corpus, per bucket that it knows.
+PRIOR = 4
+# Nats per n-gram below fresh trusted text at which a document is refused.
 THRESHOLD = -0.1
 SPAN = 5
 
@@ -122,9 +123,10 @@ def with_base_counts(worded: DataFrame) -> DataFrame:
 
 
 def bucket_weights(worded: DataFrame, trusted: str, buckets: int = BUCKETS) -> DataFrame:
-    """One row with ``weights``: per bucket log(target / raw), from all rows; ``trusted`` marks the target's.
+    """One row: ``weights``, per bucket log(target / raw) from all rows, and ``level``; ``trusted`` marks the target's rows.
 
-    The target is smoothed as if PRIOR n-grams per bucket, spread like the corpus, had been seen too.
+    The target is smoothed as if PRIOR n-grams per bucket that it knows, spread like the corpus, had been seen too.
+    The level is the mean weight of trusted n-grams, each one left out of the counts that weigh it, or 0 if that is less.
     """
     counted = (
         worded.select(F.explode(grams(buckets=buckets)).alias("bucket"), F.col(trusted).cast("int").alias("good"))
@@ -137,14 +139,23 @@ def bucket_weights(worded: DataFrame, trusted: str, buckets: int = BUCKETS) -> D
         F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")))).alias("c"),
         F.sum("raw").alias("all_raw"),
         F.sum("target").alias("all_target"),
+        F.count_if(F.col("target") > 0).cast("double").alias("kinds"),
     )
-    total, prior = F.coalesce("all_target", F.lit(0)).cast("double"), PRIOR * buckets
+    total, prior = F.coalesce("all_target", F.lit(0)).cast("double"), PRIOR * F.col("kinds")
 
     def weight(c: Column) -> Column:
         share = c["raw"] / F.col("all_raw")
-        return F.when(c["raw"] > 0, F.log((c["target"] + prior * share) / (total + prior) / share)).otherwise(F.lit(0.0))
+        smoothed = F.log((c["target"] + prior * share) / (total + prior) / share)
+        return F.when((c["raw"] > 0) & (total > 0), smoothed).otherwise(F.lit(0.0))
 
-    return rows.select(F.transform("c", weight).alias("weights"))
+    def fresh(sum_: Column, c: Column) -> Column:
+        share = c["raw"] / F.col("all_raw")
+        left = F.log((c["target"] - 1 + prior * share) / (total - 1 + prior) / share)
+        return sum_ + F.when(c["target"] > 0, c["target"] * left).otherwise(F.lit(0.0))
+
+    # Copies among the trusted texts raise it, but never above the corpus.
+    level = F.when(total > 1, F.least(F.aggregate("c", F.lit(0.0), fresh) / total, F.lit(0.0))).otherwise(F.lit(0.0))
+    return rows.select(F.transform("c", weight).alias("weights"), level.alias("level"))
 
 
 def judge(
@@ -169,11 +180,11 @@ def judge(
         good = F.broadcast(good)
     marked = rows.join(good, "_key", "left").withColumn("_good", F.coalesce("_good", F.lit(0)))
     # `buckets` numbers, whatever the corpus' size; as a constant they need no join and no copy per row.
-    found = bucket_weights(with_words(marked), "_good", buckets).first()[0]
+    found, level = bucket_weights(with_words(marked), "_good", buckets).first()
     weights = F.split(F.lit(",".join(f"{w:.6f}" for w in found)), ",").cast("array<double>")
     counted = with_base_counts(with_words(rows)).withColumn("_grams", grams(buckets=buckets))
     total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(weights, g))
-    score = F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0))
+    score = F.when(F.size("_grams") > 0, total / F.size("_grams") - F.lit(level)).otherwise(F.lit(0.0))
     out = counted.withColumn("score", score)
     return out.select(
         F.col("_key").alias(key),

@@ -40,10 +40,14 @@ def scores(rows, trusted, buckets):
         raw += g
         if i in trusted:
             good += g
-    prior, share = quality.PRIOR * buckets, raw / max(raw.sum(), 1)
+    prior, share, total = quality.PRIOR * (good > 0).sum(), raw / max(raw.sum(), 1), good.sum()
+    if not total:
+        return [0.0] * len(rows)
     with np.errstate(divide="ignore", invalid="ignore"):
-        w = np.where(raw > 0, np.log((good + prior * share) / (good.sum() + prior) / share), 0)
-    return [float(np.mean(np.round(w, 6)[grams(t, buckets)])) if t and t.split() else 0.0 for _, t in rows]
+        w = np.where(raw > 0, np.log((good + prior * share) / (total + prior) / share), 0)
+        own = np.where(good > 0, good * np.log((good - 1 + prior * share) / (total - 1 + prior) / share), 0)
+    level = float(min(own.sum() / total, 0.0)) if total > 1 else 0.0
+    return [float(np.mean(np.round(w, 6)[grams(t, buckets)])) - level if t and t.split() else 0.0 for _, t in rows]
 
 
 def check(spark, docs, rows, trusted, buckets=64):
@@ -81,3 +85,32 @@ def test_junk_is_refused_and_prose_kept(spark):
     good = spark.createDataFrame([(i,) for i in range(0, 300) if i % 4], "doc_id long")
     found = quality.judge(docs, good, buckets=256).filter("not base_failed").collect()
     assert all(r.kept == bool(r.doc_id % 4) for r in found)
+
+
+def test_same_verdicts_at_two_sizes(spark, sf):
+    """The same mixture, once and four times over, with the query's own buckets: junk goes and prose stays in both."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    found = []
+    for copies in (1, 4):
+        times = docs.selectExpr("doc_id", "text", f"explode(sequence(0, {copies - 1})) AS c").selectExpr("doc_id + 100000L * c AS doc_id", "text")
+        good = labels.filter("quality = 1").selectExpr("doc_id", f"explode(sequence(0, {copies - 1})) AS c").selectExpr("doc_id + 100000L * c AS doc_id")
+        found.append({r.doc_id: r for r in quality.judge(times, good).collect() if r.doc_id < 100000})
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rules = [i for i, r in found[0].items() if not r.base_failed]
+    for rows in found:
+        assert np.mean([rows[i].kept for i in rules if marks.get(i) == 1]) > 0.95
+        junk = [i for i in rules if marks.get(i) == 0]
+        assert sum(not rows[i].kept for i in junk) >= len(junk) / 2
+    assert np.mean([found[0][i].kept == found[1][i].kept for i in rules]) > 0.75
+
+
+def test_few_trusted_words_can_refuse(spark):
+    """A handful of trusted texts is enough for junk to score below the threshold."""
+    prose = "the cat sat on the mat and the dog lay by the door of the house in the sun all day"
+    junk = "zq xv qq zx vv kq xz jq zv qx kk jx qv zz xq vk jj qz xk vj"
+    docs = spark.createDataFrame([(i, prose) for i in range(6)] + [(10, junk), (11, prose)], "doc_id long, text string")
+    good = spark.createDataFrame([(i,) for i in range(6)], "doc_id long")
+    rows = {r.doc_id: r for r in quality.judge(docs, good).collect()}
+    assert rows[10].score < quality.THRESHOLD and not rows[10].kept
+    assert all(rows[i].score >= quality.THRESHOLD for i in (0, 11))

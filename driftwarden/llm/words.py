@@ -10,7 +10,7 @@ import pyarrow as pa
 from driftwarden.llm.mph import mix
 
 ODD_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

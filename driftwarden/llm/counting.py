@@ -4,7 +4,8 @@ A document's text is cut into segments of some hundred characters at places wher
 A binary tree per document keeps the characters and tokens of every segment and the sums above
 them. An edit is looked up by the sums; the segments it touches, and neighbours as long as the
 border between them is no such place any more, are encoded anew, and the sums on their way to the
-root are brought up to date. All other segments keep their counts.
+root are brought up to date. All other segments keep their counts. A segment that has grown past
+LEAF_CHARS is split; the sums are then added up over one more leaf, without encoding anything else.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from driftwarden.llm.common import fresh, map_batches
 from driftwarden.llm.encode import Encoder, encoder
 
 SEGMENT_CHARS = 256
+# A segment may grow to this length by edits before it is split (where it can be cut at all).
+LEAF_CHARS = 2 * SEGMENT_CHARS
 CUT = re.compile(r"(?<=[^\s\x00-\x20]) (?=[^\s\x00-\x20])")
 
 
@@ -47,7 +50,7 @@ class Tree:
         self.room = len(chars) // 2
 
     @classmethod
-    def build(cls, chars: list[int], tokens: list[int]) -> Tree:
+    def build(cls, chars: list[int] | np.ndarray, tokens: list[int] | np.ndarray) -> Tree:
         room = 1 << max(0, len(chars) - 1).bit_length()
         sums = []
         for leaves in (chars, tokens):
@@ -78,6 +81,13 @@ class Tree:
             self.tokens[node] += d_tokens
             node //= 2
 
+    def spliced(self, first: int, last: int, chars: list[int], tokens: list[int]) -> Tree:
+        """A tree with other leaves in place of ``first`` to ``last``; emptied leaves are left out."""
+        old = slice(self.room, self.room + first), slice(self.room + last + 1, 2 * self.room)
+        sizes = np.concatenate([self.chars[old[0]], chars, self.chars[old[1]]])
+        held = np.concatenate([self.tokens[old[0]], tokens, self.tokens[old[1]]])
+        return Tree.build(sizes[sizes > 0], held[sizes > 0])
+
     def size(self, segment: int) -> int:
         return int(self.chars[self.room + segment])
 
@@ -140,16 +150,22 @@ class Edited:
         return first, last, self.text[begin:stop]
 
     def recount(self, first: int, last: int, pieces: list[str], tokens: list[int]) -> None:
-        for k in range(first, last + 1):
-            i = k - first
-            self.tree.put(k, len(pieces[i]) if i < len(pieces) else 0, tokens[i] if i < len(pieces) else 0)
-        self.encoded += sum(map(len, pieces))
+        sizes = [len(p) for p in pieces]
+        self.encoded += sum(sizes)
+        spare = last - first + 1 - len(pieces)
+        if spare < 0:
+            self.tree = self.tree.spliced(first, last, sizes, tokens)
+            return
+        for k, (size, held) in enumerate(zip(sizes + [0] * spare, tokens + [0] * spare), first):
+            self.tree.put(k, size, held)
 
 
 def fitted(region: str, slots: int) -> list[str]:
-    """The region in at most as many pieces as there are segments for it."""
+    """The region in pieces: as many as there are segments for it, more if the last one would grow past LEAF_CHARS."""
     pieces = segments(region)
-    return pieces if len(pieces) <= slots else [*pieces[: slots - 1], "".join(pieces[slots - 1 :])]
+    if len(pieces) <= slots or sum(map(len, pieces[slots - 1 :])) > LEAF_CHARS:
+        return pieces
+    return [*pieces[: slots - 1], "".join(pieces[slots - 1 :])]
 
 
 def apply_edits(trees: DataFrame, vocabulary: str, edits: str = "edits", text: str = "text") -> DataFrame:

@@ -66,3 +66,29 @@ def test_odd_rows(spark, odd_docs, no_docs):
         want = [(r.doc_id, apply(r.text)) for r in odd_docs.collect()]
         assert got == sorted(((i, t, plain(t or "")) for i, t in want), key=repr)
     assert counting.build_trees(no_docs, VOCABULARY).count() == 0
+
+
+def test_grown_segments_are_split():
+    """After a long insertion an edit costs its surroundings again, not the whole insertion."""
+    encode, rng = encoder(VOCABULARY), random.Random(5)
+    text = " ".join(rng.choice(WORDS) for _ in range(500))
+    pieces = counting.segments(text)
+    tree = counting.Tree.build([len(s) for s in pieces], counting.counts(encode, pieces))
+    doc = counting.Edited(text, tree.chars.tobytes(), tree.tokens.tobytes())
+
+    def edit(start, end, put):
+        before = doc.encoded
+        first, last, region = doc.edit(start, end, put)
+        new = counting.fitted(region, last - first + 1)
+        doc.recount(first, last, new, counting.counts(encode, new))
+        assert doc.tree.chars[1] == len(doc.text)
+        return doc.encoded - before
+
+    edit(700, 710, "some words, " + "word " * 10_000 + " ".join(rng.choice("abcdefg") * 5 for _ in range(30_000)))
+    assert max(edit(at, at + 1, "q") for at in [rng.randrange(len(doc.text)) for _ in range(200)]) <= 2000
+    for _ in range(3000):  # typing at one place
+        edit(5000, 5000, "ab ")
+    assert edit(5000, 5001, "c") <= 2000
+    edit(100, 150_000, "")
+    assert edit(90, 120, " ") <= 2000
+    assert doc.tree.tokens[1] == plain(doc.text)

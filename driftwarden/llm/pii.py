@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from driftwarden.llm.common import fresh, map_batches, stored
 
-# Draws in the entity's own format; each later one is a character longer, so a full format never blocks.
+# Draws in the entity's own format; each later one is a character longer, so a full format never blocks. An address
+# leaves its private range for 10.0.0.0/8, then for any, and at last gets a port.
 TRIES = 12
 
 TITLES = {  # title -> gender
@@ -164,17 +165,21 @@ def luhn(number: str) -> bool:
     return total % 10 == 0
 
 
-def _octets(draw: Draw, ip: str) -> str:
+def _octets(draw: Draw, ip: str, attempt: int) -> str:
     a, b = map(int, ip.split(".")[:2])
     low = [str(draw.below(256)) for _ in range(3)]
-    if a == 10 or a == 127:
-        return ".".join([str(a), *low])
-    if (a, b) == (192, 168):
-        return ".".join(["192", "168", *low[1:]])
-    if a == 172 and 16 <= b <= 31:
+    private = a in (10, 127) or (a, b) == (192, 168) or (a == 172 and 16 <= b <= 31)
+    if private and TRIES <= attempt < 2 * TRIES:
+        return ".".join(["10", *low])
+    if private and attempt < TRIES:
+        if a == 10 or a == 127:
+            return ".".join([str(a), *low])
+        if a == 192:
+            return ".".join(["192", "168", *low[1:]])
         return ".".join(["172", str(16 + draw.below(16)), *low[1:]])
     first = [n for n in range(1, 224) if n not in (10, 127, 169, 172, 192)]
-    return ".".join([str(first[draw.below(len(first))]), *low])
+    address = ".".join([str(first[draw.below(len(first))]), *low])
+    return address if attempt < 3 * TRIES else f"{address}:{1 + draw.below(65535)}"
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
@@ -188,7 +193,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         other = Draw(key, "domain", domain).like(host)
         return f"{draw.like(local + 'a' * longer)}@{other}.{top}"
     if kind == "ip":
-        return _octets(draw, canon)
+        return _octets(draw, canon, attempt)
     if kind == "card":
         body = canon[0] + draw.like(canon[1:] + "0" * longer)
         good = luhn(canon)

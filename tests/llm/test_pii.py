@@ -86,3 +86,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
 def test_later_draws_differ(kind, canon):
     drawn = {pii.surrogate(KEY, kind, canon, n) for n in range(6)}
     assert len(drawn) > 3 and canon not in drawn
+
+
+def test_a_full_private_range_ends(spark):
+    """More addresses than half of 192.168/16 holds: the rest gets distinct addresses elsewhere."""
+    real = [f"192.168.{i // 256}.{i % 256}" for i in range(40_000)]
+    entities = spark.createDataFrame([("ip", a) for a in real], "kind string, canon string")
+    new = [r.new for r in pii.assign(entities, KEY).collect()]
+    assert len(new) == len(set(new)) == len(real) and not set(new) & set(real)
+    assert sum(a.startswith("192.168.") for a in new) > 10_000 and all(a.startswith(("192.168.", "10.")) for a in new)
+
+
+def test_addresses_at_every_attempt():
+    shapes = {10: r"10\.", 172: r"(172\.(1[6-9]|2\d|3[01])|10)\.", 192: r"(192\.168|10)\."}
+    for first, ip in ((10, "10.1.2.3"), (172, "172.20.1.1"), (192, "192.168.0.7")):
+        for attempt in range(2 * pii.TRIES):
+            assert re.match(shapes[first], pii.surrogate(KEY, "ip", ip, attempt))
+    late = {pii.surrogate(KEY, "ip", "192.168.0.7", 3 * pii.TRIES + i) for i in range(50)}
+    assert len(late) == 50 and all(re.fullmatch(r"[\d.]+:\d+", a) for a in late)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import sources, views
 from driftwarden.catalog.base import FLOW, query, with_ctes
-from driftwarden.operators import batched, evaluate, features, models, neighbours, report, study
+from driftwarden.operators import batched, certify, evaluate, features, models, neighbours, report, study
 from driftwarden.plans.scale import scratch_path
 from driftwarden.views import CLASSES, FEATURES
 
@@ -176,3 +176,51 @@ def r8_held(spark, sf_dir):
     rows = batched.prepare(views.flow_view(spark, sf_dir), SCORED, ["row_key"], CLASSES, "label", seed=42)
     found = batched.held_counts(rows, batched.held_limits(rows, 100, 3))
     return found.select(F.concat(F.lit("run"), F.col("model").cast("string")).alias("run_id"), "class", "rows", "held")
+
+
+@query(
+    "m1_logistic_optimum",
+    with_ctes(FLOW, select="SELECT '(intercept)' AS feature, sum(label)::DOUBLE AS target, TRUE AS at_optimum FROM flow WHERE side = 'train' "
+        + " ".join(f"UNION ALL SELECT '{c}', sum(label * {c})::DOUBLE, TRUE FROM flow WHERE side = 'train'" for c in SCORED)),
+)
+def m1_optimum(spark, sf_dir):
+    """The weights are where the penalised loss has no slope: what the fit must give, whatever its steps."""
+    train, _ = split(spark, sf_dir)
+    return certify.logistic_optimum(train, models.fit_logistic(train, SCORED), SCORED).drop("gradient")
+
+
+@query(
+    "m2_forest_leaf_counts",
+    with_ctes(FLOW, select="""
+SELECT CAST(tree AS INTEGER) AS tree, count(*) AS rows, count(*) FILTER (WHERE label = 0) AS class_0, count(*) FILTER (WHERE label = 1) AS class_1, 0::BIGINT AS disagreeing
+FROM flow, (SELECT unnest(range(20)) AS tree) WHERE side = 'train' GROUP BY tree"""),
+)
+def m2_leaves(spark, sf_dir):
+    """Every training row reaches one leaf of each tree, and the leaves' label counts are those of their rows."""
+    train, _ = split(spark, sf_dir)
+    forest = models.fit_forest(train, SCORED, trees=20, bootstrap=False)
+    found = certify.forest_agreement(train, forest)
+    return found.select("tree", "rows", "class_0", "class_1", (F.col("leaves") - F.col("agreeing")).alias("disagreeing"))
+
+
+def traces(columns: list[str]) -> str:
+    """SQL: traces of the powers of the correlation matrix of ``columns``."""
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS v FROM flow"
+        for i, a in enumerate(columns) for j, b in enumerate(columns)
+    )
+    powers = [f"r1 AS ({cells})"]
+    for k in range(2, len(columns) + 1):
+        powers.append(f"r{k} AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM r{k - 1} a JOIN r1 b ON a.j = b.i GROUP BY a.i, b.j)")
+    select = " UNION ALL ".join(
+        f"SELECT {k} AS power, round(sum(v), 6) AS total, TRUE AS uncorrelated, TRUE AS descending FROM r{k} WHERE i = j"
+        for k in range(1, len(columns) + 1)
+    )
+    return with_ctes(FLOW, *powers, select=select)
+
+
+@query("e3_component_spectrum", traces(SCORED))
+def e3_spectrum(spark, sf_dir):
+    """The variances of all components, by as many power sums as there are; SQL has them from the correlations alone."""
+    found = certify.component_spectrum(views.flow_view(spark, sf_dir), SCORED, scale=True)
+    return found.withColumn("total", F.round("total", 6))

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from driftwarden.operators import clean, decide, features, models
+from driftwarden.operators import certify, clean, decide, features, models
 from driftwarden.operators.sample import stratified_split
 from driftwarden.operators.significance import hypergeometric, split_draw
 
@@ -71,3 +71,36 @@ def test_large_draws_have_the_right_distribution(monkeypatch, good, bad, n):
     sizes = np.full(50, 2 * 10**11)
     drawn = split_draw(rng, sizes, 5 * 10**12)
     assert drawn.sum() == 5 * 10**12 and (drawn <= sizes).all()
+
+
+def test_only_the_fitted_weights_are_an_optimum(spark, train):
+    fitted = models.fit_logistic(train, ["a", "b"])
+    told = {r.feature: r for r in certify.logistic_optimum(train, fitted, ["a", "b"]).collect()}
+    assert all(r.at_optimum for r in told.values()) and told[certify.INTERCEPT].target == 60
+    other = models.fit_logistic(train.filter("id % 4 > 0"), ["a", "b"])
+    assert not all(r.at_optimum for r in certify.logistic_optimum(train, other, ["a", "b"]).collect())
+    unlabelled = train.limit(1).withColumn("label", F.lit(None).cast("int"))
+    assert sorted(certify.logistic_optimum(train.union(unlabelled), fitted, ["a", "b"]).collect()) == sorted(told.values())
+    empty = certify.logistic_optimum(train.limit(0), fitted, ["a", "b"]).collect()
+    assert [r.target for r in empty] == [0.0, 0.0, 0.0]
+
+
+def test_leaves_hold_the_rows_that_reach_them(train):
+    plain = models.fit_forest(train, ["a", "b"], trees=3, bootstrap=False)
+    for r in certify.forest_agreement(train, plain).collect():
+        assert (r.rows, r.class_0, r.class_1) == (120, 60, 60) and r.leaves == r.agreeing
+    some = certify.forest_agreement(train.filter("id > 30"), plain).collect()
+    assert all(r.agreeing < r.leaves for r in some)
+    redrawn = certify.forest_agreement(train, models.fit_forest(train, ["a", "b"], trees=3)).collect()
+    assert all(r.rows == 120 for r in redrawn) and any(r.agreeing < r.leaves for r in redrawn)
+
+
+def test_spectrum_against_numpy(train):
+    import numpy as np
+
+    rows = train.withColumn("c", F.col("b") * 2 + F.sin("id"))
+    x = np.array([[0.0 if v is None or not math.isfinite(v) else v for v in r] for r in rows.select("b", "c").collect()])
+    own = np.linalg.eigvalsh(np.cov(x.T, bias=True))
+    found = {r.power: r for r in certify.component_spectrum(rows, ["b", "c"]).collect()}
+    assert [found[k].total for k in (1, 2)] == pytest.approx([(own**k).sum() for k in (1, 2)])
+    assert all(r.uncorrelated and r.descending for r in found.values())

@@ -21,7 +21,7 @@ from driftwarden.catalog.base import (
 from driftwarden.catalog.distances import sliced_flows
 from driftwarden.operators import decide, distance, report
 from driftwarden.plans.draws import draw, hash_ranks
-from driftwarden.plans.scale import scratch_path
+from driftwarden.plans.scale import cut, scratch_path
 from driftwarden.views import CLASSES, FEATURES
 
 SEED = 7
@@ -195,6 +195,23 @@ def s4(spark, sf_dir):
     )
 
 
+@query(
+    "s4_repeated_save",
+    with_ctes(*BASELINE_SQL, select='SELECT run_id, class, round(accuracy, 6) AS accuracy, measure, round(distance, 4) AS distance FROM baseline'),
+)
+def s4_repeated(spark, sf_dir):
+    """All runs are saved, then one of them again: each is there once."""
+    path, rows = scratch_path(spark, "runs"), baseline(spark, sf_dir)
+    sources.save_runs(rows, path)
+    once = sources.load_runs(spark, path)
+    again = once.agg(F.max("run_id").alias("run_id"))
+    sources.save_runs(cut(once.join(again, "run_id")), path)
+    stored = sources.load_runs(spark, path)
+    return stored.select(
+        "run_id", "class", F.round("accuracy", 6).alias("accuracy"), "measure", F.round("distance", 4).alias("distance")
+    )
+
+
 @query(
     "r1_best_baseline",
     with_ctes(*BASELINE_SQL, BEST_SQL, select='SELECT class, measure, run_id, round(accuracy, 6) AS accuracy, round(distance, 4) AS distance FROM best'),

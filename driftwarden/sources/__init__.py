@@ -15,6 +15,8 @@ from driftwarden.sources.files import (  # noqa: F401
 from driftwarden.sources.stores import (  # noqa: F401
     load_baseline,
     load_model,
+    load_runs,
     save_baseline,
     save_model,
+    save_runs,
 )

@@ -128,3 +128,35 @@ def test_files_of_one_folder_are_read_by_their_own_header(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.missing) for r in skipped] == [("c.csv", ["Label"])]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     assert sources.csv_headers(spark, [path + "/*.csv"]) and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_a_run_saved_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    kind = "run_id string, accuracy double, measure string, distance double, class int"
+    rows = [(run, 0.9, m, 0.1, k) for run in ("a", "b/1", None) for m in ("ks", "ad") for k in (0, 1)]
+    runs = spark.createDataFrame(rows, kind)
+    with pytest.raises(FileNotFoundError):
+        sources.load_runs(spark, path)
+    sources.save_runs(runs, path)
+    sources.save_runs(runs, path)
+    assert sorted(sources.load_runs(spark, path).collect(), key=repr) == sorted(runs.collect(), key=repr)
+    sources.save_runs(spark.createDataFrame([("b/1", 0.5, "ks", 0.2, 1)], kind).withColumn("extra", F.lit(1)), path)
+    assert [tuple(r) for r in sources.load_runs(spark, path, "b/1").collect()] == [("b/1", 0.5, "ks", 0.2, 1)]
+    assert sources.load_runs(spark, path).count() == 9
+    sources.save_runs(runs.limit(0), path)
+    assert sources.load_runs(spark, path).count() == 9
+
+
+def test_runs_saved_at_the_same_time(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, kind = str(tmp_path / "runs"), "run_id string, accuracy double, measure string, distance double, class int"
+    saves = [spark.createDataFrame([(f"run{i}", 0.9, "ks", i / 10, k) for k in (0, 1)], kind) for i in range(4)]
+    sources.save_runs(saves[0], path)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda df: sources.save_runs(df, path), saves))
+    assert sources.load_runs(spark, path).count() == 8
+    doubled = saves[1].union(saves[1])
+    sources.save_runs(doubled, path)
+    with pytest.raises(ValueError, match="run1"):
+        sources.load_runs(spark, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwarden import views
 from driftwarden.catalog.base import DRIFT, FLOW, PLACES, ROUNDED, distance_ctes, per_class, query, with_ctes
-from driftwarden.operators import clean, distance
+from driftwarden.operators import clean, distance, sketched
 from driftwarden.views import CLASSES, FEATURES
 
 
@@ -102,3 +102,20 @@ def k8(spark, sf_dir):
 def k8_drifted(spark, sf_dir):
     found = distance.class_distances(sliced_flows(spark, sf_dir, True), FEATURES, [*CLASSES, 2], accuracy=1.0)
     return rounded(found, ["class", "accuracy"])
+
+
+SKETCHED_SQL = ", ".join(f"round({m}, {PLACES[m]}) AS {m}, NOT isnan({m}) AS {m}_within" for m in sketched.SKETCHED)
+
+
+@query("k7_sketched_distances", with_ctes(FLOW, *distance_ctes(less=1), select=f"SELECT class, feature, {SKETCHED_SQL} FROM measured"))
+def k7_sketched(spark, sf_dir):
+    """The exact distances, and whether those from sketches lie within their stated bound of them."""
+    sliced = sliced_flows(spark, sf_dir)
+    exact = distance.feature_distances(sliced, FEATURES, boundary="full", measures=sketched.SKETCHED)
+    found = sketched.sketched_distances(sliced, FEATURES)
+    found = found.select("class", "feature", *[F.struct(m, f"{m}_error").alias(f"{m}_found") for m in sketched.SKETCHED])
+    both = exact.join(found, ["class", "feature"])
+    within = [
+        (F.abs(F.col(m) - F.col(f"{m}_found.{m}")) <= F.col(f"{m}_found.{m}_error") + 1e-9).alias(f"{m}_within") for m in sketched.SKETCHED
+    ]
+    return both.select("class", "feature", *[F.round(m, PLACES[m]).alias(m) for m in sketched.SKETCHED], *within)

@@ -354,6 +354,8 @@ def class_links(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle:
     inside = inside.withColumn("label", F.coalesce("label", "doc"))
     sizes = inside.groupBy("family", "label").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("family").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+    # Read from a table it is not dealt by family, so a large family's members need not meet in one task.
+    main = stored(main, "main")
     apart = inside.join(main, "family").filter("label <> main").select("doc", "rk", "n", "family")
     rest = stored(family_groups(docs.join(apart, ["doc", "rk"]).dropDuplicates(["doc", "rk"]), shingle), "rest")
     # Numbers of their own, so that no group is taken for itself.

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from driftwarden.functions.columns import flag
 from driftwarden.operators.decide import verdict
 from driftwarden.operators.distance import distances, mean_over_features, melt, to_long_form
+from driftwarden.plans.scale import cut
 from driftwarden.sources.files import existing_paths
 
 COUNTS = "window_start timestamp, batch_id long, class int, feature string, value double, n long"
@@ -125,6 +126,8 @@ class DriftMonitor:
         )
 
     def start(self, scored: DataFrame, checkpoint: str, drain: bool = False) -> StreamingQuery:
+        # Every micro-batch reads the digest and the baseline: they are stored here, not counted again.
+        self.training, self.baseline = cut(self.training), cut(self.baseline)
         writer = scored.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime="30 seconds")).start()
 

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwarden.plans.scale import cut, is_small, null_safe_join
+from driftwarden.plans.scale import cut, is_small, lookup_join, null_safe_join, stored
 
 CELL = "_cell"
+# monotonically_increasing_id() holds the number of the partition above so many bits for the row.
+ROW_BITS = 33
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 BEFORE_HERE = (Window.unboundedPreceding, -1)
 
@@ -90,15 +92,14 @@ def row_numbers(df: DataFrame, order: list[str], name: str, keys: list[str] | No
     keys = list(keys or [])
     if use_single(df, layout):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    ranged = spread_by_range(df, keys, order)
-    cells = ranged.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("_rows"))
+    # A sorted range is written once; the place of a row in it is kept, so no row moves again.
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).sortWithinPartitions(*keys, *order)
+    placed = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    placed = placed.withColumn(CELL, F.shiftright("_at", ROW_BITS).cast("int"))
+    cells = placed.groupBy(*keys, CELL).agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
     across = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(*BEFORE_HERE)
-    offsets = cells.select(*keys, CELL, F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, CELL).orderBy(*order)
-    local = ranged.withColumn("_run", F.row_number().over(inside))
-    return null_safe_join(local, offsets, [*keys, CELL]).select(
-        *df.columns, (F.col("_off") + F.col("_run")).cast("long").alias(name)
-    )
+    offsets = cells.select(*keys, CELL, (F.coalesce(F.sum("_rows").over(across), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    return lookup_join(placed, offsets, [*keys, CELL], "check").select(*df.columns, (F.col("_off") + F.col("_at")).cast("long").alias(name))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, points: list[float], layout: str = "auto") -> DataFrame:

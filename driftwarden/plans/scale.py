@@ -68,6 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same as columns in the shared folder: much smaller than ``cut``, and read column by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join on columns of the same names where null equals null; each key column appears once."""
     renamed = right.select(*[F.col(c).alias(f"_r_{c}" if c in on else c) for c in right.columns])

@@ -132,7 +132,7 @@ def x4_null(spark, sf_dir):
 
 @query("x5_kfold_null_labels", X5_NULL)
 def x5_null(spark, sf_dir):
-    found = sample.stratified_kfold(unlabelled_flows(spark, sf_dir), "label", 10, KEY, layout="window")
+    found = sample.stratified_kfold(unlabelled_flows(spark, sf_dir), "label", 10, KEY)
     return found.select("row_key", "label", "fold")
 
 

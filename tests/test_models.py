@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from driftwarden.operators import certify, clean, decide, features, models
@@ -36,6 +37,22 @@ def test_epochs_patience_and_partitioning(train):
     assert sorted(r.id for r in parts[0].collect()) == sorted(r.id for r in parts[1].collect())
 
 
+def test_perceptron_rows_are_dealt_out_and_scored_once(train, monkeypatch):
+    evaluator = dict(labelCol="label", predictionCol=models.PREDICTED, probabilityCol=models.PROBABILITY)
+    whole = models.MultilayerPerceptronClassifier.fit
+    seen = []
+    monkeypatch.setattr(models, "PERCEPTRON_ROWS", 20, raising=False)
+    monkeypatch.setattr(models.MultilayerPerceptronClassifier, "fit", lambda self, rows: seen.append(rows.rdd.getNumPartitions()) or whole(self, rows))
+    fit = models.fit_mlp(train.coalesce(1), ["a", "b"], hidden=(4,), epochs=10, block=10)
+    assert seen == [6]
+    (row,) = fit.history.collect()
+    parted = stratified_split(train, "label", 0.2, ["a", "b", "label"])
+    for side, found in (("train", (row.loss, row.accuracy)), ("test", (row.val_loss, row.val_accuracy))):
+        scored = fit.model.transform(parted.filter(F.col("split") == side))
+        want = [MulticlassClassificationEvaluator(metricName=m, **evaluator).evaluate(scored) for m in ("logLoss", "accuracy")]
+        assert list(found) == pytest.approx(want)
+
+
 def test_one_class_is_an_error(spark):
     df = spark.createDataFrame([("x",), ("x",)], "c string")
     with pytest.raises(Exception, match="has not two classes"):

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwarden.llm.common import list_array, map_batches, row_key, small_batches, split_join, stored
+from driftwarden.llm.common import give_back, list_array, map_batches, row_key, small_batches, split_join, stored
 from driftwarden.llm.links import components
 from driftwarden.llm.mph import mix
 from driftwarden.llm.sieve import sieve_of
@@ -298,6 +298,7 @@ def family_groups(rows: DataFrame, shingle: int) -> DataFrame:
                     held += len(found)
         if docs:
             yield close()
+        give_back()
 
     ranged = rows.select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return ranged.mapInArrow(run, GROUP_COLUMNS)
@@ -309,11 +310,17 @@ def edge_rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The batch's rows, one at a time: each holds whole groups."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def compare_inside(groups: DataFrame, percent: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return edge_rows([edges_inside(Group.read(row), percent) for row in batch.to_pylist()])
+        return edge_rows([edges_inside(Group.read(row), percent) for row in rows_of(batch)])
 
-    return groups.mapInArrow(lambda bs: (run(b) for b in bs if b.num_rows), "a long, b long")
+    return map_batches(groups, run, "a long, b long")
 
 
 def compare_pairs(groups: DataFrame, others: DataFrame, percent: int) -> DataFrame:
@@ -324,13 +331,13 @@ def compare_pairs(groups: DataFrame, others: DataFrame, percent: int) -> DataFra
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = []
-        for row in batch.to_pylist():
+        for row in rows_of(batch):
             other = Group.read({c: row[f"{c}_2"] for c in parts})
             found.append(edges_between(Group.read(row), other, percent))
         return edge_rows(found)
 
     wanted = pairs.select(*parts, *(f"{c}_2" for c in parts))
-    return wanted.mapInArrow(lambda bs: (run(b) for b in bs if b.num_rows), "a long, b long")
+    return map_batches(wanted, run, "a long, b long")
 
 
 def class_links(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:

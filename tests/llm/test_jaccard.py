@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from driftwarden.llm import jaccard, links
@@ -128,3 +129,18 @@ def test_a_repeated_id_links_all_its_texts(spark):
     found = run(docs)
     assert {i: label for i, n, label in found if n} == {5: 5, 9: 5, 20: 5, 30: 5, 40: 40}
     assert [r for r in found if r[1]] == [r for r in brute(rows, 3, 90) if r[1]]
+
+
+def test_pairs_of_groups_are_read_one_at_a_time_and_memory_goes_back(spark, monkeypatch):
+    sets = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 1, 40, 41)]
+    rows = [{"family": 1, "gid": g, **jaccard.Group.build([g], [s]).write()} for g, s in enumerate(sets)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    assert list(jaccard.rows_of(batch)) == rows
+    handed, whole = [], jaccard.map_batches
+    monkeypatch.setattr(jaccard, "map_batches", lambda df, run, schema: handed.append(schema) or whole(df, run, schema))
+    groups = spark.createDataFrame([tuple(r.values()) for r in rows], jaccard.GROUP_COLUMNS)
+    assert jaccard.compare_inside(groups, 80).count() == 0
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in jaccard.compare_pairs(groups, groups, 80).collect()}
+    assert found == {(0, 1), (2, 3)}
+    # The shared way to run batches, which hands freed memory back when a task ends.
+    assert handed == ["a long, b long"] * 2

@@ -25,10 +25,6 @@ THRESHOLD = -0.1
 SPAN = 5
 
 
-def _deleted(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
-
-
 def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds _text (null as empty), _words and _h, the hash of each word."""
     whole = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
@@ -36,38 +32,35 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return cut.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
 
 
-def grams(h: str = "_h", buckets: int = BUCKETS) -> Column:
-    """Bucket of every word and of every pair of neighbours."""
+def pairs(h: str = "_h") -> Column:
+    """Hash of every pair of neighbours."""
     n = F.size(h)
-    pairs = F.when(
-        n > 1,
-        F.zip_with(
-            F.slice(h, F.lit(1), n - 1),
-            F.slice(h, F.lit(2), n - 1),
-            lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(buckets)).cast("int"),
-        ),
-    ).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int")), pairs)
+    found = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), lambda x, y: F.xxhash64(x, y))
+    return F.when(n > 1, found).otherwise(F.array().cast("array<long>"))
+
+
+def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 def with_base_counts(worded: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed, from _text, _words, _h and _pairs.
 
-    A window of five words is told by a 64-bit hash. Windows that occur twice are first sought among
-    the sorted hashes; only texts that have some get their places sorted too.
+    A window of five words is told by a 64-bit hash of its first two pairs and its last word. Only texts
+    in which some occur twice get the windows' places sorted.
     """
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.ltrim(x, F.lit(SEPARATORS)) != "")
     out = worded.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": _deleted(F.col("_text"), SEPARATORS).cast("long"),
-            "n_symbols": (F.length("_text") - _deleted(F.col("_text"), SYMBOLS)).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": F.regexp_count("_text", F.lit(f"[{SYMBOLS}]")).cast("long"),
             "_lines": lines,
             "_w": F.when(
                 F.size("_h") >= SPAN,
                 F.transform(
-                    F.sequence(F.lit(1), F.size("_h") - (SPAN - 1)),
-                    lambda i: F.xxhash64(*[F.element_at("_h", i + k) for k in range(SPAN)]),
+                    F.slice("_h", F.lit(SPAN), F.size("_h")),
+                    lambda last, i: F.xxhash64(F.get("_pairs", i), F.get("_pairs", i + 2), last),
                 ),
             ).otherwise(F.array().cast("array<long>")),
         }
@@ -75,19 +68,10 @@ def with_base_counts(worded: DataFrame) -> DataFrame:
     out = out.withColumns(
         {
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_sorted": F.sort_array("_w"),
+            "_twice": F.size(F.array_distinct("_w")) < F.size("_w"),
         }
-    )
-    m = F.size("_sorted")
-    twice = F.when(
-        m > 1,
-        F.exists(
-            F.zip_with(F.slice("_sorted", F.lit(1), m - 1), F.slice("_sorted", F.lit(2), m - 1), lambda x, y: x == y),
-            lambda same: same,
-        ),
-    ).otherwise(F.lit(False))
-    out = out.withColumn("_twice", twice).drop("_sorted", "_lines")
-    places = F.when(F.col("_twice"), F.array_sort(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    ).drop("_lines")
+    places = F.when(F.col("_twice"), F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     out = out.withColumn("_places", places)
 
     def same(i: Column, j: Column) -> Column:
@@ -129,8 +113,8 @@ def bucket_weights(worded: DataFrame, trusted: str, buckets: int = BUCKETS) -> D
     The level is the mean weight of trusted n-grams, each one left out of the counts that weigh it, or 0 if that is less.
     """
     counted = (
-        worded.select(F.explode(grams(buckets=buckets)).alias("bucket"), F.col(trusted).cast("int").alias("good"))
-        .groupBy("bucket")
+        worded.select(F.explode(F.concat("_h", pairs())).alias("gram"), F.col(trusted).cast("int").alias("good"))
+        .groupBy(bucket_of(F.col("gram"), buckets).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     )
     # At most `buckets` rows from here on.
@@ -182,8 +166,8 @@ def judge(
     # `buckets` numbers, whatever the corpus' size; as a constant they need no join and no copy per row.
     found, level = bucket_weights(with_words(marked), "_good", buckets).first()
     weights = F.split(F.lit(",".join(f"{w:.6f}" for w in found)), ",").cast("array<double>")
-    counted = with_base_counts(with_words(rows)).withColumn("_grams", grams(buckets=buckets))
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(weights, g))
+    counted = with_base_counts(with_words(rows).withColumn("_pairs", pairs())).withColumn("_grams", F.concat("_h", "_pairs"))
+    total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(weights, bucket_of(g, buckets)))
     score = F.when(F.size("_grams") > 0, total / F.size("_grams") - F.lit(level)).otherwise(F.lit(0.0))
     out = counted.withColumn("score", score)
     return out.select(

@@ -117,3 +117,16 @@ def test_few_trusted_words_can_refuse(spark):
     rows = {r.doc_id: r for r in quality.judge(docs, good).collect()}
     assert rows[10].score < quality.THRESHOLD and not rows[10].kept
     assert all(rows[i].score >= quality.THRESHOLD for i in (0, 11))
+
+
+def test_rules_look_at_characters_in_bulk(spark, odd_docs):
+    """No character is looked up by itself, and only texts with repeated windows are sorted."""
+    counted = quality.with_base_counts(quality.with_words(odd_docs).withColumn("_pairs", quality.pairs()))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "sort_array(_w" not in plan and "array_sort" not in plan
+
+
+def test_symbols_and_lines_of_odd_texts(spark):
+    texts = ["[#] *$%&|<> ^-\\] \U0001f600#\U0001f600", "a b\n \x0b\x0c\na b\n\ta b\n\n a b\na b", "\n\n", "#", "x" * 9 + "\r\n" + "x" * 9 + "\r\n", "\x20\n\x20\n"]
+    rows = list(enumerate(texts))
+    check(spark, spark.createDataFrame(rows, "doc_id long, text string"), rows, [0, 1])

@@ -4,13 +4,15 @@ Both vocabularies split a text into pre-tokens before any merge, and a pre-token
 a single space between two visible characters, over a single line break, or from a letter or digit
 to a full stop or comma. Cutting there and encoding the pieces gives the ids of the whole text.
 Pieces repeat, so each worker keeps the ids of pieces it has met; only new ones go to the
-tokenizer. A text with other white space is cut at single spaces alone.
+tokenizer, many in one call. Where ids spell their text byte by byte, words with their leading space go one behind the
+other and the ids' lengths in bytes tell them apart; else a mark stands between. A text with other white space is cut at single spaces alone.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,24 @@ class Encoder:
         self.between = both[len(one) : len(both) - len(one)]
         marks = [i for i in self.between if i not in self._plain("a\n\na")]
         self.mark = marks[0] if len(marks) == 1 else None
+        self.bytes = self._id_bytes()
         self._reset()
 
+    def _id_bytes(self) -> np.ndarray | None:
+        """How many bytes of text each id stands for; None if the vocabulary changes texts or does not split them by bytes."""
+        from tokenizers import pre_tokenizers
+
+        split = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer is not None or not isinstance(split, pre_tokenizers.ByteLevel) or split.add_prefix_space or not split.use_regex:
+            return None
+        added = self.tokenizer.get_added_tokens_decoder()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        sizes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        for token, i in vocab.items():
+            # A byte of a token is a character of its name; added tokens are named by their text.
+            sizes[i] = len(token.encode()) if i in added else len(token)
+        return sizes
+
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -73,9 +91,27 @@ class Encoder:
         self.flat[self.used : end] = ids
         self.used = end
 
+    def _learn_rows(self, pieces: list[str]) -> bool:
+        """Encode words that begin with a space, one behind the other; False if an id reaches over a word's end."""
+        rows = ["".join(pieces[i : i + GROUP]) for i in range(0, len(pieces), GROUP)]
+        encoded = self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.uint32)
+        ends = np.cumsum(self.bytes[ids])
+        wanted = np.cumsum(np.fromiter((len(p.encode()) for p in pieces), np.int64, len(pieces)))
+        last = np.searchsorted(ends, wanted)
+        if not len(ends) or ends[-1] != wanted[-1] or (ends[last] != wanted).any():
+            return False
+        self._append(pieces, ids, np.diff(last, prepend=-1))
+        return True
+
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one call with a mark between them."""
+        """Encode new pieces, many in one call, where need be with a mark between them."""
         alone, joint = [], []
+        if self.bytes is not None:
+            # The cut between two such words is one that no pre-token reaches over.
+            rows = [p for p in pieces if p[:1] == " " < p[1:2] and " " < p[-1] and not p[1].isspace() and not p[-1].isspace()]
+            if rows and self._learn_rows(rows):
+                pieces = [p for p in pieces if p not in self.place]
         for p in pieces:
             # White space at either end would meet the line break of the mark; a space before a word does not.
             word = p[1:] if p[:1] == " " else p

@@ -24,6 +24,29 @@ def test_pieces_give_the_ids_of_the_whole_text(name):
         assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_new_words_go_to_the_tokenizer_as_they_are():
+    """Nothing is put between new words where ids spell bytes; an id that reached over a word's end would be noticed."""
+    encode, sent = Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Spy:
+        def encode_batch_fast(self, rows, **options):
+            sent.extend(rows)
+            return plain.encode_batch_fast(rows, **options)
+
+        def encode(self, text, **options):
+            return plain.encode(text, **options)
+
+    plain, encode.tokenizer = encode.tokenizer, Spy()
+    text = "".join(f" wört{i}x{i * i}" for i in range(500))
+    (ids,) = encode.encode(pa.array([text]))
+    assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, sent)) == len(text)
+    encode.bytes[ids[:1]] += 1
+    encode._reset()
+    (again,) = encode.encode(pa.array([text]))
+    assert again.tolist() == ids.tolist()
+
+
 def test_words_are_those_of_split():
     rng = random.Random(2)
     texts = ["".join(rng.choice("ab \t\n\x0b\x0c\r\x1cé ") for _ in range(rng.randint(0, 12))).encode() for _ in range(500)]

@@ -16,6 +16,9 @@ from driftwarden.plans.scale import scratch_path
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 
+# Row groups of about 8 MB, their size looked at after every row.
+WIDE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,14 +56,16 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Used where a result of Python code feeds several branches, or row numbers given by a task must
     read the same everywhere: one committed attempt of each task counts, also after lost executors.
+    ``wide`` is for rows of megabytes: a task holds a row group whole, and by default one has 100 rows at least.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.options(**WIDE_ROWS) if wide else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -346,7 +346,7 @@ def class_links(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle:
     # Two sets may share a node's name once in 2^64; they are in one family then, and compared.
     members = classes.join(families, "node").select("doc", "rk", "n", "family")
     texts = docs.join(members, ["doc", "rk"]).dropDuplicates(["doc", "rk"])
-    groups = stored(family_groups(texts, shingle), "groups")
+    groups = stored(family_groups(texts, shingle), "groups", wide=True)
     found = compare_inside(groups, percent)
     count = groups.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("gid").alias("first"))
     large = stored(count.filter("n > 1"), "large")
@@ -364,7 +364,7 @@ def class_links(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle:
     # Read from a table it is not dealt by family, so a large family's members need not meet in one task.
     main = stored(main, "main")
     apart = inside.join(main, "family").filter("label <> main").select("doc", "rk", "n", "family")
-    rest = stored(family_groups(docs.join(apart, ["doc", "rk"]).dropDuplicates(["doc", "rk"]), shingle), "rest")
+    rest = stored(family_groups(docs.join(apart, ["doc", "rk"]).dropDuplicates(["doc", "rk"]), shingle), "rest", wide=True)
     # Numbers of their own, so that no group is taken for itself.
     rest = rest.withColumn("gid", -1 - F.col("gid"))
     more = compare_pairs(rest, many.drop("first"), percent)

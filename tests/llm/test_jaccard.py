@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
-from driftwarden.llm import jaccard, links
+from driftwarden.llm import common, jaccard, links
 
 
 def brute(rows, shingle, percent):
@@ -144,3 +145,30 @@ def test_pairs_of_groups_are_read_one_at_a_time_and_memory_goes_back(spark, monk
     assert found == {(0, 1), (2, 3)}
     # The shared way to run batches, which hands freed memory back when a task ends.
     assert handed == ["a long, b long"] * 2
+
+
+def test_groups_are_stored_in_small_row_groups(spark, monkeypatch):
+    """Groups take megabytes each; a task that reads or writes them must not hold a hundred at once."""
+    found, seen = jaccard.stored, []
+
+    def watched(df, name, **options):
+        out = found(df, name, **options)
+        if name in ("groups", "rest"):
+            seen.append((name, out))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", watched)
+    monkeypatch.setattr(common, "WIDE_ROWS", {**common.WIDE_ROWS, "parquet.block.size": 1 << 20})
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(12):
+        text = " ".join(f"{w:x}" for w in rng.integers(0, 1 << 62, 60_000))
+        rows += [(3 * i + k, text + f" end{k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = {r.doc_id: r.component_id for r in jaccard.link_documents(docs).collect()}
+    assert got == {i: i // 3 * 3 for i in range(36)}
+    (groups,) = [df for name, df in seen if name == "groups"]
+    about = [pq.ParquetFile(path.removeprefix("file:")).metadata for path in groups.inputFiles()]
+    # A group of 1.2 MB fills a row group by itself here.
+    assert max(m.num_rows for m in about) > 1
+    assert all(m.num_row_groups == m.num_rows for m in about)

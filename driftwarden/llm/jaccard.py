@@ -20,19 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwarden.llm.common import give_back, list_array, map_batches, row_key, small_batches, split_join, stored
 from driftwarden.llm.links import components
 from driftwarden.llm.mph import mix
-from driftwarden.llm.sieve import sieve_of
+from driftwarden.llm.sieve import Sieve, part_of, sieve_of
 from driftwarden.llm.words import ODD_BASES, Words, run_hashes, slices
 
 GROUP_DOCS = 256
 GROUP_TOKENS = 200_000
 COLUMNS = 4096  # of the 0/1 matrices at a time
+# Shingles a part of the hash space is made for, tokens that a task packs at a time, and the most parts.
+PART_TOKENS, PACKED_TOKENS, MOST_PARTS = 1 << 20, 1 << 20, 4096
+COPY = np.dtype([("low", "<u4"), ("node", "<i8")])
 LOWER = bytes(c | 0x20 if 0x41 <= c <= 0x5A else c for c in range(256))
 
 
@@ -146,27 +149,103 @@ def profiles(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
     return map_batches(rows, run, "doc long, rk long, n long, key binary, node long, tokens array<long>")
 
 
-def shared_tokens(named: DataFrame) -> DataFrame:
+def codes_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    """What ``repeated_tokens`` knows of a token, its part and its lower half, as an even 64-bit hash."""
+    part = part_of(tokens, parts).astype(np.uint64)
+    return mix((part << np.uint64(32)) | (tokens & np.uint64(0xFFFFFFFF)), 71)
+
+
+def packed_tokens(named: DataFrame, copied: Broadcast, parts: int) -> DataFrame:
+    """(part, alone, copies): the lower halves of the tokens in a part of the hash space, packed, some rows per task.
+
+    In ``alone`` those of sets that one row has; in ``copies`` with the set's node, for sets that several rows may have.
+    """
+
+    def packs(nodes: list[np.ndarray], tokens: list[np.ndarray]) -> pa.RecordBatch:
+        node, token = np.concatenate(nodes), np.concatenate(tokens)
+        several = copied.value.has(node.view(np.uint64))
+        # Parts follow the order of tokens.
+        single = np.sort(token[~several])
+        order = np.argsort(token[several], kind="stable")
+        pairs = np.empty(len(order), COPY)
+        pairs["low"], pairs["node"] = token[several][order].astype("<u4"), node[several][order]
+        every = np.arange(parts + 1)
+        ends = np.searchsorted(part_of(single, parts), every)
+        pair_ends = np.searchsorted(part_of(token[several][order], parts), every)
+        some = np.flatnonzero((np.diff(ends) > 0) | (np.diff(pair_ends) > 0))
+        low = single.astype("<u4")
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(some, pa.int32()),
+                pa.array([low[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()),
+                pa.array([pairs[pair_ends[i] : pair_ends[i + 1]].tobytes() for i in some], pa.binary()),
+            ],
+            names=["part", "alone", "copies"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, tokens, held = [], [], 0
+        for batch in batches:
+            lists = batch.column("tokens")
+            tokens.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+            nodes.append(np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy())))
+            held += len(tokens[-1])
+            if held >= PACKED_TOKENS:
+                yield packs(nodes, tokens)
+                nodes, tokens, held = [], [], 0
+        if held:
+            yield packs(nodes, tokens)
+        give_back()
+
+    small_batches(named.sparkSession)
+    return named.select("node", "tokens").mapInArrow(run, "part int, alone binary, copies binary")
+
+
+def repeated_tokens(named: DataFrame, classes: DataFrame) -> tuple[Sieve, int]:
+    """A sieve of the codes of tokens that several sets have, and the number of parts that the codes are made with.
+
+    Most tokens are a set's own. Four bytes of each are shuffled to find those that are not; tokens that
+    meet by chance in their part and these bytes pass too, and are told apart later.
+    """
+    spark = named.sparkSession
+    size = classes.agg(F.sum("n").alias("n")).first().n or 0
+    parts = min(MOST_PARTS, max(1, -(-size // PART_TOKENS)))
+    copied = spark.sparkContext.broadcast(sieve_of(classes.filter("copies > 1"), "node"))
+
+    def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        alone = np.frombuffer(b"".join(rows.column("alone").to_pylist()), "<u4")
+        copies = np.unique(np.frombuffer(b"".join(rows.column("copies").to_pylist()), COPY))["low"]
+        low = np.sort(np.concatenate([alone, copies]))
+        same = low[1:] == low[:-1]
+        again = low[1:][same & np.concatenate([[True], ~same[:-1]])].astype(np.uint64)
+        codes = mix((np.uint64(key[0].as_py()) << np.uint64(32)) | again, 71)
+        give_back()
+        return pa.table({"code": pa.array(codes.view(np.int64))})
+
+    repeated = packed_tokens(named, copied, parts).groupBy("part").applyInArrow(count, "code long")
+    return sieve_of(stored(repeated, "repeated"), "code"), parts
+
+
+def shared_tokens(named: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): each set that has a token in common with others, and the least of these, over all such tokens.
 
-    Most tokens are a set's own. They are shuffled once, to find those that are not; a sieve of these keeps the
-    others from a second shuffle.
+    Only tokens that ``repeated_tokens`` lets pass are written whole, with the sets that have them.
     """
-    spans = named.select("node", F.explode("tokens").alias("token")).groupBy("token")
-    spans = spans.agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = stored(spans.filter("low < high").select("token", "low"), "shared")
-    known = named.sparkSession.sparkContext.broadcast(sieve_of(shared, "token"))
+    sieve, parts = repeated_tokens(named, classes)
+    known = named.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column("tokens")
         tokens = lists.flatten().to_numpy(zero_copy_only=False)
         node = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
-        some = known.value.has(tokens.view(np.uint64))
+        some = known.value.has(codes_of(tokens.view(np.uint64), parts))
         # Copies of a set have the same tokens.
         pairs = np.unique(np.stack([node[some], tokens[some]]), axis=1) if some.any() else np.empty((2, 0), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "token"])
 
-    dealt = map_batches(named.select("node", "tokens"), run, "a long, token long")
+    dealt = stored(map_batches(named.select("node", "tokens"), run, "a long, token long"), "dealt")
+    spans = dealt.groupBy("token").agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    shared = stored(spans.filter("low < high").select("token", "low"), "shared")
     return split_join(dealt, shared, ["token"]).filter("low < a").select("a", F.col("low").alias("b"))
 
 
@@ -341,8 +420,8 @@ def compare_pairs(groups: DataFrame, others: DataFrame, percent: int) -> DataFra
 
 
 def class_links(named: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, label) for the classes (doc, rk, n, node) that are linked with others; ``named`` has all rows' tokens."""
-    families = components(shared_tokens(named)).toDF("node", "family")
+    """(node, label) for the classes (doc, rk, n, node, copies) that are linked with others; ``named`` has all rows' tokens."""
+    families = components(shared_tokens(named, classes)).toDF("node", "family")
     # Two sets may share a node's name once in 2^64; they are in one family then, and compared.
     members = classes.join(families, "node").select("doc", "rk", "n", "family")
     texts = docs.join(members, ["doc", "rk"]).dropDuplicates(["doc", "rk"])
@@ -396,8 +475,8 @@ def link_documents(
     rows = docs.select(F.col(key).cast("long").alias("doc"), row_key(text).alias("rk"), F.col(text).alias("text"))
     found = stored(profiles(rows, shingle, percent), "profiles")
     named = found.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
-    classes = named.groupBy("key").agg(F.min(F.struct("doc", "rk")).alias("least"), F.first("n").alias("n"), F.first("node").alias("node"))
-    classes = stored(classes.select("least.doc", "least.rk", "n", "node"), "classes")
+    classes = named.groupBy("key").agg(F.min(F.struct("doc", "rk")).alias("least"), F.first("n").alias("n"), F.first("node").alias("node"), F.count(F.lit(1)).alias("copies"))
+    classes = stored(classes.select("least.doc", "least.rk", "n", "node", "copies"), "classes")
     labels = class_links(named, classes, rows.filter(F.col("doc").isNotNull()), shingle, percent)
     node = named.groupBy("key").agg(F.min("doc").alias("node"))
     where = node.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
